@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import exact_dedup, license_scan, media, packing
 
-_MODULES = [exact_dedup, packing]
+_MODULES = [exact_dedup, license_scan, media, packing]
 
 
 def queries() -> dict:
