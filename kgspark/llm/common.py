@@ -113,3 +113,21 @@ def mapped_bytes(uri: str):
 
 
 import pyarrow.compute  # noqa: E402  pa.compute is used in slices()
+
+
+#: Keys that hold over 1/HOT of all rows; there can be no more than HOT of them.
+HOT = 10_000
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with ``table``, whose key is unique, whatever share of rows one key holds.
+
+    The rows of hot keys, under HOT keys by their definition, meet a broadcast copy of the table's few rows for them; all
+    others are dealt by key. ``rows`` is read three times, so it should come from a written table.
+    """
+    counts = rows.groupBy(key).count()
+    n = rows.count()
+    hot = written(counts.where(F.col("count") > max(1, n // HOT)).select(key).join(table, key), "hot")
+    near = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
+    far = near.where("__hot is null").select(*rows.columns).join(table, key)
+    return near.where("__hot").drop("__hot").unionByName(far)
