@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, content_store, exact_dedup, license_scan, media, packing
+from . import bpe, content_store, exact_dedup, license_scan, media, packing, toxicity
 
-_MODULES = [exact_dedup, packing, bpe, license_scan, content_store, media]
+_MODULES = [exact_dedup, packing, bpe, license_scan, content_store, toxicity, media]
 
 
 def queries() -> dict:
