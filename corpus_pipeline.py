@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from kgspark.llm import exact_dedup, packing
+from kgspark.llm import exact_dedup, jaccard_join, packing, toxicity
 from kgspark.llm.common import written
 
 #: (name, function); each function takes (spark, docs, sf_dir). All but the last return the columns of documents.
-STAGES = [("exact_dedup", exact_dedup.stage), ("best_fit_packing", packing.stage)]
+STAGES = [("toxicity", toxicity.stage), ("exact_dedup", exact_dedup.stage), ("ngram_jaccard_join", jaccard_join.stage), ("best_fit_packing", packing.stage)]
 
 #: Stages use a fitted classifier and a tokenizer, which SQL can't express; tests hold run() against brute force.
 ORACLE_SQL = None

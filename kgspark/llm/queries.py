@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, content_store, exact_dedup, license_scan, media, packing, toxicity
+from . import bpe, content_store, exact_dedup, jaccard_join, license_scan, media, packing, toxicity
 
-_MODULES = [exact_dedup, packing, bpe, license_scan, content_store, toxicity, media]
+_MODULES = [exact_dedup, packing, bpe, license_scan, content_store, jaccard_join, toxicity, media]
 
 
 def queries() -> dict:
