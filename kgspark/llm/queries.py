@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, content_store, exact_dedup, jaccard_join, license_scan, line_dedup, media, packing, toxicity
+from . import bpe, content_store, exact_dedup, jaccard_join, license_scan, line_dedup, media, ngram_lm, packing, toxicity
 
-_MODULES = [exact_dedup, packing, bpe, license_scan, content_store, jaccard_join, line_dedup, toxicity, media]
+_MODULES = [ngram_lm, exact_dedup, packing, bpe, license_scan, content_store, jaccard_join, line_dedup, toxicity, media]
 
 
 def queries() -> dict:
