@@ -74,9 +74,12 @@ def crc_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return crc
 
 
-def crc_of_parts(crcs: list[int], sizes: list[int]) -> int:
-    after = np.cumsum([0, *sizes[:0:-1]])[::-1]
-    return int(np.bitwise_xor.reduce(crc_shift(np.array(crcs, np.uint32), after)))
+def crcs_of_parts(crcs: np.ndarray, sizes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The crc of each whole; its parts lie in a row, the first of each at ``firsts`` (each whole has a part)."""
+    ends = np.cumsum(sizes)
+    last = np.append(firsts[1:], len(sizes)) - 1
+    after = np.repeat(ends[last], np.diff(np.append(firsts, len(sizes)))) - ends
+    return np.bitwise_xor.reduceat(crc_shift(crcs, after), firsts)
 
 
 # --- writing ---
@@ -182,10 +185,17 @@ def read_store(spark: SparkSession, path: str, item: int = 2) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs, good = [], []
-            for n, root, parts in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                crcs.append(crc_of_parts([p["crc"] for p in parts], [4 * p["n"] for p in parts]))
-                good.append(n == sum(p["n"] for p in parts) and root == merkle([p["address"] for p in parts]))
+            if not batch.num_rows:
+                continue
+            column = batch.column(4)
+            parts = column.flatten()
+            firsts = np.asarray(column.offsets)[:-1] - column.offsets[0].as_py()
+            n, crc = (np.asarray(parts.field(k), np.int64) for k in (1, 2))
+            crcs = crcs_of_parts(crc, 4 * n, firsts).astype(np.int64)
+            addresses = parts.field(3).to_pylist()
+            last = np.append(firsts[1:], len(n))
+            good = [root == merkle(addresses[a:b]) for root, a, b in zip(batch.column(3).to_pylist(), firsts, last)]
+            good = np.array(good) & (np.add.reduceat(n, firsts) == np.asarray(batch.column(2)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
     return recipes.join(lists, "start").select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
