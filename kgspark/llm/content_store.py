@@ -25,7 +25,7 @@ from .common import id_and_text, join_unique, scratch, shared_dir, slices, writt
 from .tokens import tokenizer, vocabulary, word_tokenizer
 
 END = 1
-BITS, LEAST, MOST = 9, 128, 8192
+BITS, LEAST, MOST = 10, 256, 16384
 STAGED = "doc_id long, n_tokens long, addresses array<binary>, address binary, ids binary"
 
 

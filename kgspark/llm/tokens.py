@@ -13,6 +13,8 @@ import numpy as np
 
 #: Words kept by a worker; about 150 bytes each. When full the store starts anew.
 WORDS = 900_000
+#: Characters that are one piece of the split where they stand together, and none of them with what is before.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _ODD = re.compile("[\x1c-\x1f]")
 _WORKERS: dict[str, "WordTokenizer"] = {}
 
@@ -34,7 +36,7 @@ def tokenizer(path: str):
 class WordTokenizer:
     """Encodes batches of texts to uint16 or uint32 arrays.
 
-    A word of Latin letters, with or without one full stop or comma after them, goes to the tokenizer's own model in lower
+    A word of Latin letters, with or without ASCII punctuation after them, goes to the tokenizer's own model in lower
     case and many to a call (its normaliser and its split would do the same to it); any other word goes through the whole
     tokenizer alone.
     """
@@ -50,7 +52,7 @@ class WordTokenizer:
         last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.last = last
-        self.marks = {m: self._whole([m])[0] for m in ("", ".", ",")}
+        self.marks = {"": b""}
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.dtype).tobytes() for w in words]
@@ -69,14 +71,19 @@ class WordTokenizer:
     def _learn(self, new: list[str]) -> None:
         plain, odd = [], []
         for w in new:
-            mark = w[-1] if w[-1] in ".," else ""
-            core = (w[:-1] if mark else w).lower()
+            core = w.rstrip(_MARKS)
+            mark, core = w[len(core) :], core.lower()
             if core.isalpha() and (core.isascii() or max(w) < "\u0250"):
                 plain.append((w, core, mark))
             else:
                 odd.append(w)
         self._letters(list({c for _, c, _ in plain}.difference(self.known)))
         known, marks = self.known, self.marks
+        if len(marks) > 10_000:
+            marks.clear()
+            marks[""] = b""
+        new = list({m for _, _, m in plain}.difference(marks))
+        marks.update(zip(new, self._whole(new)))
         known.update([(w, known[c] + marks[m]) for w, c, m in plain])
         known.update(zip(odd, self._whole(odd)))
 
