@@ -13,8 +13,8 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
-import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .common import id_and_text, slices
 
 #: Bounds of what a worker keeps: steps of the transducer, words with their ids. When full they start anew.
-STEPS, WORDS = 300_000, 400_000
+STEPS, WORDS = 700_000, 400_000
 _WORKERS: dict = {}
 
 
@@ -36,12 +36,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The encoding by definition: merge the adjacent pair of least rank, the first of equals, until none can be merged."""
-    parts = [data[i : i + 1] for i in range(len(data))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
-        if parts[best] + parts[best + 1] not in ranks:
-            break
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    parts, none = [data[i : i + 1] for i in range(len(data))], 1 << 60
+    of = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+    while of and (least := min(of)) < none:
+        i = of.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del of[i]
+        if i < len(of):
+            of[i] = ranks.get(parts[i] + parts[i + 1], none)
+        if i:
+            of[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
     return [ranks[p] for p in parts]
 
 
@@ -84,7 +88,7 @@ class Transducer:
         return self.pairs[a, b]
 
     def _new_step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        readings = []
+        readings, whole = [], None  # in the order in which their last tokens began
         for last, node, waiting in self.states[state]:
             to = self.child.get(node << 8 | byte)
             if to is None:
@@ -92,10 +96,15 @@ class Transducer:
             readings.append((last, to, waiting))
             token = self.token[to]
             if token >= 0 and self._holds(last, token):
-                readings.append((token, 0, (*waiting, token)))
-        shared = os.path.commonprefix([w for _, _, w in readings])
-        n = len(shared)
-        new = tuple(sorted((last, node, w[n:]) for last, node, w in readings))
+                whole = (token, 0, (*waiting, token))  # one at most: an encoding is unique
+        if whole:
+            readings.append(whole)
+        shared, n = readings[0][2], 0
+        for n in range(len(shared), -1, -1):
+            if all(w[:n] == shared[:n] for _, _, w in readings):
+                break
+        shared = shared[:n]
+        new = tuple((last, node, w[n:]) for last, node, w in readings) if n else tuple(readings)
         if new not in self.number:
             self.number[new] = len(self.states)
             self.states.append(new)
@@ -127,12 +136,21 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.machine, self.pattern, self.words = Transducer(self.ranks), regex.compile(pattern), words
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.table = [self.machine.bytes_of.get(i, b"") for i in range(max(self.ranks.values()) + 1)]
         self.numerals = [str(i) for i in range(len(self.table))]
 
     def _ids(self, text: str) -> bytes:
-        encode = self.machine.encode
-        return np.array([i for p in self.pattern.findall(text) for i in encode(p.encode())], "<u4").tobytes()
+        found = self.pattern.findall(text)
+        pieces, out = self.pieces, []
+        for p in found:
+            ids = pieces.get(p)
+            if ids is None:
+                if len(pieces) > self.words:
+                    pieces.clear()
+                ids = pieces[p] = array("I", self.machine.encode(p.encode())).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         if not text:
