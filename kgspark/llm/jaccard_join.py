@@ -95,22 +95,23 @@ def least_matches(similarity: float = SIMILARITY, tolerance: float = TOLERANCE)
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         own = [shingles(t) for t in batch.column(1).to_pylist()]
-        cols = [batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array([signature(s).tobytes() for s in own], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n_shingles", "values"])
+        bands = bands_of(np.array([signature(s) for s in own]))
+        cols = [batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array([b.tobytes() for b in bands], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n_shingles", "bands"])
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), BANDS)), pa.array(bands_of(values).view(np.int64).ravel())], names=["rep", "band"])
+            bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), BANDS)), pa.array(bands)], names=["rep", "band"])
 
 
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         own = [shingles(t) for t in batch.column(1).to_pylist()]
-        same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(own, batch.column(6).to_pylist())], pa.bool_())
-        cols = [*(batch.column(i) for i in (0, 2, 3, 4, 5)), pa.array([s.tobytes() for s in own], pa.binary())]
+        same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(own, batch.column(5).to_pylist())], pa.bool_())
+        cols = [*(batch.column(i) for i in (0, 2, 3, 4)), pa.array([signature(s).tobytes() for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())]
         # a doc_id that comes again with another text doesn't stand for this class
         yield pa.RecordBatch.from_arrays(cols, names=["rep", "size", "component", "blocks", "values", "shingles"]).filter(same)
 
@@ -201,23 +202,26 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     """
     shared_dir(docs.sparkSession)
     texts = id_and_text(docs)
-    every = written(texts.mapInArrow(_features, "doc_id long, key binary, n_shingles long, values binary"), "features")
+    every = written(texts.mapInArrow(_features, "doc_id long, key binary, n_shingles long, bands binary"), "features")
     rows = every.where("doc_id is not null and n_shingles > 0")
-    classes = written(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("values").alias("values")), "classes")
+    classes = written(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands")), "classes")
     n = rows.count()
 
-    bands = written(classes.select("rep", "values").mapInArrow(_band_rows, "rep long, band long"), "bands")
+    bands = written(classes.select("rep", "bands").mapInArrow(_band_rows, "rep long, band long"), "bands")
     met = written(bands.groupBy("band").agg(F.min("rep").alias("center"), F.count("*").alias("held")).where("held > 1"), "met")
     most = max(1, n * BANDS // HOT)  # so that fewer than HOT bands are hot
     near = bands.join(F.broadcast(met.where(F.col("held") > most)), "band").select("rep", "center")
     far = bands.join(met.where(F.col("held") <= most), "band").select("rep", "center")
-    together = components(near.unionByName(far).where("rep <> center").select(F.col("rep").alias("u"), F.col("center").alias("v")))
+    # a class's bands have BANDS centers at most; it is tied to the least of them, and so are the others
+    ties = near.unionByName(far).groupBy("rep").agg(F.min("center").alias("least"), F.collect_set("center").alias("centers"))
+    ties = ties.select(F.col("least").alias("u"), F.explode(F.array_union("centers", F.array("rep"))).alias("v")).where("u <> v")
+    together = components(ties)
 
     blocks = together.groupBy("component").agg(F.count("*").alias("members"))
     blocks = blocks.select("component", F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"))
-    wanted = written(together.join(blocks, "component").join(classes, F.col("node") == F.col("rep")).select("rep", "size", "component", "blocks", "values", "key"), "wanted")
+    wanted = written(together.join(blocks, "component").join(classes, F.col("node") == F.col("rep")).select("rep", "size", "component", "blocks", "key"), "wanted")
     dealt = max(1, -(-wanted.where("blocks = 1").count() // BLOCK))
-    payload = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text", "size", "component", "blocks", "values", "key")
+    payload = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text", "size", "component", "blocks", "key")
     payload = payload.mapInArrow(_payload, "rep long, size long, component long, blocks long, values binary, shingles binary")
     payload = payload.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), "blocks")).otherwise(F.lit(0).cast("long")))
     payload = payload.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
