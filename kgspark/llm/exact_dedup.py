@@ -106,10 +106,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of docs that stay, with the columns of docs; of rows with the same doc_id and equal text one."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    as_text = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit(""))  # noqa: E731  a plain key: join and grouping share one shuffle
+    kept = exact_dedup(docs).where("kept").select(as_text(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     sha = F.sha2(F.translate(F.coalesce(docs["text"].cast("string"), F.lit("")), SPACES, "").cast("binary"), 256)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("long").alias("__id"), sha.alias("__sha"))
-    rows = rows.join(kept, rows["__id"].eqNullSafe(kept["__id"]) & (rows["__sha"] == kept["__sha"]), "left_semi")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), as_text(F.col("doc_id")).alias("__id"), sha.alias("__sha"))
+    rows = rows.join(kept, ["__id", "__sha"], "left_semi")
     one = rows.groupBy("__id", "__sha").agg(F.max_by("__row", F.struct(F.length("__row.text"), F.xxhash64("__row"))).alias("__row"))
     return one.select("__row.*")
 
