@@ -7,6 +7,7 @@ its structure (chunks, segments, headers) and gives the length, or rejects it.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -38,6 +39,8 @@ FIXED = [
 
 RATE = 8000
 UNIT = 64
+_XREF = re.compile(rb"startxref\s+(\d{1,15})\s+%%EOF")
+_TABLE = re.compile(rb"xref\s|\d+\s+\d+\s+obj")
 
 
 def _png(b, at):
@@ -119,30 +122,156 @@ def _riff(needs):
     return check
 
 
+# Block sizes and the bytes that follow a frame's number for them; bits a sample by their code.
+_FLAC_BLOCK = {1: 192, **{k: 576 << k - 2 for k in range(2, 6)}, **{k: 256 << k - 8 for k in range(8, 16)}}
+_FLAC_DEPTH = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
+
+
+def _crc_table(polynomial: int, bits: int) -> list[int]:
+    table = []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ polynomial if x >> bits - 1 else x << 1) & (1 << bits) - 1
+        table.append(x)
+    return table
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+class _Bits:
+    """Bits of b from byte p on."""
+
+    def __init__(self, b, p):
+        self.b, self.p, self.end = b, 8 * p, 8 * len(b)
+
+    def take(self, n: int) -> int:
+        first, last = self.p >> 3, self.p + n + 7 >> 3
+        self.p += n
+        if self.p > self.end:
+            raise EOFError
+        return int.from_bytes(self.b[first:last], "big") >> (-self.p & 7) & (1 << n) - 1
+
+    def zeros(self) -> int:
+        """The number of bits 0 before the next 1, which is taken too."""
+        n = 0
+        while True:
+            left = min(32, self.end - self.p)
+            if left <= 0:
+                raise EOFError
+            x = self.take(left)
+            if x:
+                self.p -= x.bit_length() - 1
+                return n + left - x.bit_length()
+            n += left
+
+
+def _flac_frame(b, p, depth):
+    """(end, samples) of the frame at p by its header and subframes, both crcs right; None if there is none."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] >> 1 != 0x7C:
+        return None
+    size, rate, channels, bits = b[p + 2] >> 4, b[p + 2] & 15, b[p + 3] >> 4, b[p + 3] >> 1 & 7
+    q = p + 4 + max(1, 8 - (~b[p + 4] & 255).bit_length())  # the number is in the manner of UTF-8
+    samples = _FLAC_BLOCK.get(size)
+    if size in (6, 7):
+        samples, q = int.from_bytes(b[q : q + size - 5], "big") + 1, q + size - 5
+    q += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if samples is None or rate == 15 or channels > 10 or bits == 3 or b[p + 3] & 1 or q >= len(b):
+        return None
+    crc = 0
+    for x in b[p:q]:
+        crc = _CRC8[crc ^ x]
+    if crc != b[q]:
+        return None
+    depth, read = _FLAC_DEPTH.get(bits, depth), _Bits(b, q + 1)
+    try:
+        for c in range(channels + 1 if channels < 8 else 2):
+            own = depth + (channels in (8, 10) and c == 1 or channels == 9 and c == 0)
+            head = read.take(8)
+            kind = head >> 1 & 63
+            if head >> 7:
+                return None
+            if head & 1:
+                own -= read.zeros() + 1
+            if kind == 0:
+                read.take(own)
+            elif kind == 1:
+                read.p += own * samples
+            elif 8 <= kind <= 12 or kind >= 32:
+                order = kind - 8 if kind < 32 else kind - 31
+                read.p += own * order
+                if kind >= 32:
+                    precision = read.take(4) + 1
+                    read.p += 5 + precision * order
+                method, parts = read.take(2), read.take(4)
+                if method > 1 or samples % (1 << parts):
+                    return None
+                for k in range(1 << parts):
+                    n, rice = (samples >> parts) - (0 if k else order), read.take(4 + method)
+                    if rice == (31 if method else 15):
+                        read.p += read.take(5) * n
+                    else:
+                        for _ in range(n):
+                            read.zeros()
+                            read.p += rice
+            else:
+                return None
+    except EOFError:
+        return None
+    end, crc = (read.p + 7 >> 3) + 2, 0
+    if end > len(b):
+        return None
+    for x in b[p:end]:
+        crc = (crc << 8 & 0xFFFF) ^ _CRC16[crc >> 8 ^ x]
+    return None if crc else (end, samples)
+
+
 def _flac(b, at):
     p = at + 4
     while p + 4 <= len(b):
         head, n = b[p], int.from_bytes(b[p + 1 : p + 4], "big")
-        if (p == at + 4) != (head & 127 == 0) or p == at + 4 and n != 34:
+        if (p == at + 4) != (head & 127 == 0) or p == at + 4 and n != 34 or p + 4 + n > len(b):
             return None
         p += 4 + n
         if head & 128:
-            return len(b) - at if p + 2 <= len(b) and b[p] == 0xFF and b[p + 1] >> 2 == 0x3E else None
-    return None
+            break
+    else:
+        return None
+    told = int.from_bytes(b[at + 18 : at + 26], "big")  # rate, channels, bits a sample, samples (0: not known)
+    depth, left, first = (told >> 36 & 31) + 1, told & (1 << 36) - 1, p
+    whole = left
+    while (not whole or left > 0) and (frame := _flac_frame(b, p, depth)):
+        p, left = frame[0], left - frame[1]
+    return p - at if p > first and (not whole or left == 0) else None
 
 
 def _ogg(b, at):
-    p = at
+    """Ends where the last of the streams ends that begin at the front; a page inside a stream begins no file."""
+    p, open_, front = at, set(), True
     while p + 27 <= len(b) and b[p : p + 4] == b"OggS" and b[p + 4] == 0 and p + 27 + b[p + 26] <= len(b):
-        last, n = b[p + 5] & 4, b[p + 26]
+        flags, stream, n = b[p + 5], bytes(b[p + 14 : p + 18]), b[p + 26]
+        front = front and bool(flags & 2)
+        if front:
+            open_.add(stream)
+        elif stream not in open_:
+            return None
         p += 27 + n + sum(b[p + 27 : p + 27 + n])
         if p > len(b):
             return None
-        if last:
-            return p - at
+        if flags & 4:
+            open_.discard(stream)
+            if not open_:
+                return p - at
     return None
 
 
+def _ogg_pages(b, at, end):
+    while at < end:
+        yield at
+        at += 27 + b[at + 26] + sum(b[at + 27 : at + 27 + b[at + 26]])
+
+
 def _mp4(b, at):
     p, kinds = at, []
     while p + 8 <= len(b):
@@ -159,22 +288,29 @@ def _mp4(b, at):
 
 
 def _pdf(b, at):
+    """Ends at the last end mark whose startxref leads to a cross-reference table of this file (one within it has its own), or
+    if there is none, at the last before the next file."""
     end = b.find(b"%%EOF", at)
     if end < 0 or b.find(b"startxref", at, end) < 0:
         return None
+    for m in reversed(list(_XREF.finditer(b, at))):
+        if _TABLE.match(b, at + int(m[1])):
+            return m.end() - at
     following = b.find(b"%PDF-", end)
     end = b.rfind(b"%%EOF", at, following if following > 0 else len(b)) + 5
     return end - at
 
 
 def _zip(b, at):
+    """Ends with the end-of-directory record that fits the start; those of files stored within don't."""
     end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    n, size, start = struct.unpack_from("<HII", b, end + 10)
-    if at + start + size != end or n and b[at + start : at + start + 4] != b"PK\x01\x02":
-        return None
-    return end + 22 + int.from_bytes(b[end + 20 : end + 22], "little") - at
+    while 0 <= end <= len(b) - 22:
+        n, size, start = struct.unpack_from("<HII", b, end + 10)
+        whole = end + 22 + int.from_bytes(b[end + 20 : end + 22], "little")
+        if at + start + size == end and whole <= len(b) and (not n or b[at + start : at + start + 4] == b"PK\x01\x02"):
+            return whole - at
+        end = b.find(b"PK\x05\x06", end + 1)
+    return None
 
 
 def _gzip(b, at):
@@ -209,38 +345,46 @@ class Sniffer:
             self.magic.add_word(magic.decode("latin-1"), (kind, offset + len(magic) - 1))
         self.magic.make_automaton()
 
-    def __call__(self, data: bytes) -> list[tuple[str, int, int]]:
-        """(type, start, length) of each medium that is valid, by start; what lies within one is not looked for again."""
-        found, free = [], 0
-        for end, (kind, back) in self.magic.iter(data.decode("latin-1")):
-            at = end - back
-            if at >= free and (n := VALIDATORS[kind](data, at)):
-                found.append((kind, at, n))
-                free = at + n
+    def __call__(self, data: bytes) -> list[tuple[str, int, int, int | None]]:
+        """(type, start, length, within) of each medium that is valid, by start; those within another are found too, whole in
+        its bytes, and ``within`` is the start of the innermost that holds it (None: none)."""
+        found, around = [], [(None, None, len(data), data)]
+        for at, kind in sorted({(end - back, kind) for end, (kind, back) in self.magic.iter(data.decode("latin-1"))}):
+            if at < 0:
+                continue
+            while len(around) > 1 and at >= around[-1][2]:
+                around.pop()
+            outer, start, end, own = around[-1]
+            if outer == kind == "audio/ogg" and at in _ogg_pages(own, start, end):
+                continue
+            if n := VALIDATORS[kind](own, at):
+                found.append((kind, at, n, start))
+                around.append((kind, at, at + n, data[: at + n]))
         return found
 
 
 def sniff(media: DataFrame, column: str = "media", declared: str = "declared") -> DataFrame:
     """media with what its binary column holds, beside its other columns: detected (type of the medium at byte 0, null if
     none is valid), corrected (detected, else application/octet-stream), mismatch (declared differs), embedded (array of
-    type, start, length of the media that start later, whole in the bytes). Null or empty bytes hold nothing.
+    type, start, length, within of the media that start later, whole in the bytes; within: the start of the innermost medium
+    around, null if none). Null or empty bytes hold nothing.
     """
     names = media.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema.fields)
-    item = pa.struct([("type", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
+    item = pa.struct([("type", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("within", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Sniffer()
         for batch in slices(batches, column):
             found = [look(b or b"") for b in batch.column(names.index(column)).to_pylist()]
-            first = [next((k for k, at, _ in own if at == 0), None) for own in found]
+            first = [next((k for k, at, *_ in own if at == 0), None) for own in found]
             fixed = [k or "application/octet-stream" for k in first]
             said = batch.column(names.index(declared)).to_pylist() if declared in names else fixed
-            rest = [[dict(zip(("type", "start", "length"), x)) for x in own if x[1]] for own in found]
+            rest = [[dict(zip(("type", "start", "length", "within"), x)) for x in own if x[1]] for own in found]
             new = [pa.array(first, pa.string()), pa.array(fixed, pa.string()), pa.array([a != b for a, b in zip(fixed, said)], pa.bool_()), pa.array(rest, pa.list_(item))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "detected", "corrected", "mismatch", "embedded"])
 
-    return media.mapInArrow(run, f"{schema}, detected string, corrected string, mismatch boolean, embedded array<struct<type: string, start: long, length: long>>")
+    return media.mapInArrow(run, f"{schema}, detected string, corrected string, mismatch boolean, embedded array<struct<type: string, start: long, length: long, within: long>>")
 
 
 def carve(sniffed: DataFrame, column: str = "media") -> DataFrame:
@@ -281,7 +425,8 @@ def text_media(docs: DataFrame) -> DataFrame:
 
 
 def features(sniffed: DataFrame) -> DataFrame:
-    """Features of stored audio/wav media: lengths, hashes and a text of sample statistics."""
+    """Features of stored audio/wav media: lengths, hashes and a text of sample statistics and of what is carved: how many
+    media, and of each its type, start and length in the stored bytes, and crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,6 +439,7 @@ def features(sniffed: DataFrame) -> DataFrame:
                 level = x.astype(np.float32) - 128
                 crossed = int(np.count_nonzero((x[1:] >= 128) != (x[:-1] >= 128)))
                 said = f"{kind};rate={RATE};samples={len(x)};mean={level.mean(dtype=np.float64):.4f};rms={np.sqrt((level * level).mean(dtype=np.float64)):.4f};crossings={crossed};embedded={len(inner)}"
+                said += "".join(f";{e['type']}@{e['start']}+{e['length']}:{zlib.crc32(media[e['start'] : e['start'] + e['length']]):08x}" for e in inner)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), said))
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             cols = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)]

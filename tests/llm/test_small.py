@@ -292,6 +292,74 @@ def test_sniff_and_carve(spark):
     assert {bytes(r["media"]) for r in media.carve(media.sniff(media_df)).collect()} == {g, z.getvalue(), w}
 
 
+def pdf(inner=b""):
+    body = b"%PDF-1.4\n1 0 obj\n<<>>\nstream\n" + inner + b"\nendstream\nendobj\n"
+    return body + b"xref\n0 1\ntrailer <<>>\nstartxref\n%d\n%%%%EOF" % len(body)
+
+
+GIF = b"GIF89a\1\0\1\0\0\0\0,\0\0\0\0\1\0\1\0\0\2\2D\1\0;"
+
+
+def flac(n_frames=3):
+    """Frames of 16 samples, 8 bits: one channel of fixed order 1 with Rice codes, the other constant."""
+    r = random.Random(2)
+
+    def crc(data, polynomial, bits):
+        x = 0
+        for byte in data:
+            x ^= byte << bits - 8
+            for _ in range(8):
+                x = (x << 1) ^ (polynomial if x >> bits - 1 & 1 else 0)
+                x &= (1 << bits) - 1
+        return x.to_bytes(bits // 8, "big")
+
+    out = b"fLaC\x80\0\0\x22" + b"\0\x10\0\x10" + b"\0" * 6 + (8000 << 44 | 1 << 41 | 7 << 36 | 16 * n_frames).to_bytes(8, "big") + b"\0" * 16
+    for k in range(n_frames):
+        head = b"\xff\xf8\x60\x12" + bytes([k, 15])
+        rice = "".join("0" * r.randint(0, 40) + "1" + f"{r.randint(0, 3):02b}" for _ in range(15))
+        bits = "0" + f"{9:06b}" + "0" + "10101010" + "00" + "0000" + "0010" + rice + "0" + "000000" + "0" + "01010101"
+        bits += "0" * (-len(bits) % 8)
+        frame = head + crc(head, 0x07, 8) + int(bits, 2).to_bytes(len(bits) // 8, "big")
+        out += frame + crc(frame, 0x8005, 16)
+    return out
+
+
+def test_media_within_media():
+    import io
+    import zipfile
+
+    def stored(inner):
+        z = io.BytesIO()
+        with zipfile.ZipFile(z, "w") as f:
+            f.writestr("a.bin", inner)
+            f.writestr("b.txt", "hello")
+        return z.getvalue()
+
+    look = media.Sniffer()
+    deep = stored(pdf(stored(png())))
+    data = media.wav(b"text " + pdf() + b" and " + GIF) + flac() + b"--" + deep + flac(1) + pdf(pdf()) + pdf()
+    found = look(data)
+    assert found[0][:2] == ("audio/wav", 0) and [k for k, *_ in found] == ["audio/wav", "application/pdf", "image/gif", "audio/flac", "application/zip", "application/pdf", "application/zip", "image/png", "audio/flac", "application/pdf", "application/pdf", "application/pdf"]
+    parts = [data[at : at + n] for _, at, n, _ in found]
+    assert parts[1:] == [pdf(), GIF, flac(), deep, pdf(stored(png())), stored(png()), png(), flac(1), pdf(pdf()), pdf(), pdf()]
+    starts = [at for _, at, *_ in found]
+    assert [w if w is None else starts.index(w) for *_, w in found] == [None, 0, 0, None, None, 4, 5, 6, None, None, 9, None]
+    assert look(flac()[:-1]) == [] and look(flac()[:-20] + b"\1" + flac()[-19:]) == []
+
+
+def test_streams_of_an_ogg_file_are_one():
+    page = lambda flags, stream, body: b"OggS\0" + bytes([flags]) + b"\0" * 8 + bytes([stream, 0, 0, 0]) + b"\0" * 8 + bytes([1, len(body)]) + body
+    one = page(2, 1, b"a") + page(2, 2, b"b") + page(0, 1, b"c" + GIF) + page(4, 1, b"d") + page(4, 2, b"e")
+    assert [(k, at, n) for k, at, n, _ in media.Sniffer()(one + one)] == [(k, at + a, n) for a in (0, len(one)) for k, at, n in (("audio/ogg", 0, len(one)), ("image/gif", one.index(GIF), len(GIF)))]
+
+
+def test_stored_texts_are_carved(spark):
+    held = pdf().decode() + GIF[:13].decode() + ";"
+    got = {r["doc_id"]: r["feature"] for r in media.stored_media(spark.createDataFrame([(1, "see " + held), (2, "see nothing")], "doc_id long, text string")).collect()}
+    a, b = pdf(), GIF[:13] + b";"
+    assert got[1].endswith(f";embedded=2;application/pdf@48+{len(a)}:{zlib.crc32(a):08x};image/gif@{48 + len(a)}+14:{zlib.crc32(b):08x}") and got[2].endswith(";embedded=0")
+
+
 def test_lm(docs, rows, empty):
     got = ngram_lm.lm_scores(docs).collect()
     learnt = [ngram_lm.tokens(t or "") for i, t in rows if crc(i, 5) != 1]
