@@ -123,8 +123,8 @@ def node_specificity(spark, d):
     return graph.node_specificity(store.adjacency(star.edges(spark, d))).select("id", F.round("specificity", 9).alias("specificity"))
 
 
-def _ppr(tele: str) -> str:
-    return f"""with recursive edges as ({C}), {ADJ}, o as (select src, sum(w) as t from adj group by src),
+def _ppr(tele: str, edges: str = C) -> str:
+    return f"""with recursive edges as ({edges}), {ADJ}, o as (select src, sum(w) as t from adj group by src),
 e as (select adj.src, dst, w / t as share from adj join o on o.src = adj.src), v as (select src as id, count(*) over () as n from o),
 tele as ({tele}), r as (
   select q.query_id, v.id, 0 as it, 1.0::double / n as r from (select distinct query_id from tele) q, v
@@ -134,17 +134,38 @@ tele as ({tele}), r as (
 select query_id, id, round(r, 9) as r from r where it = 50"""
 
 
-@query(_ppr("select 'q' || n_nationkey as query_id, 'nation/' || n_nationkey as id, 1.0::double as t from nation"))
-def ppr_50(spark, d):
-    edges = star.core_edges(spark, d)
+_NATIONS = "select 'q' || n_nationkey as query_id, 'nation/' || n_nationkey as id, 1.0::double as t from nation"
+_UNIFORM = "select 'q' as query_id, id, 1.0::double / n as t from v"
+
+
+def _ppr_nations(spark, edges):
     seeds = spark.sql("select 'q' || n_nationkey as query_id, 'nation/' || n_nationkey as id from nation")
     return graph.personalized_pagerank(store.adjacency(edges), seeds).select("query_id", "id", F.round("r", 9).alias("r"))
 
 
-@query(_ppr("select 'q' as query_id, id, 1.0::double / n as t from v"))
-def ppr_no_seed_uniform(spark, d):
+def _ppr_no_seed(spark, edges):
     seeds = spark.createDataFrame([("q", "no such node")], "query_id string, id string")
-    return graph.personalized_pagerank(store.adjacency(star.core_edges(spark, d)), seeds).select("query_id", "id", F.round("r", 9).alias("r"))
+    return graph.personalized_pagerank(store.adjacency(edges), seeds).select("query_id", "id", F.round("r", 9).alias("r"))
+
+
+@query(_ppr(_NATIONS))
+def ppr_50(spark, d):
+    return _ppr_nations(spark, star.core_edges(spark, d))
+
+
+@query(_ppr(_NATIONS, E))
+def ppr_50_whole(spark, d):
+    return _ppr_nations(spark, star.edges(spark, d))
+
+
+@query(_ppr(_UNIFORM))
+def ppr_no_seed_uniform(spark, d):
+    return _ppr_no_seed(spark, star.core_edges(spark, d))
+
+
+@query(_ppr(_UNIFORM, E))
+def ppr_no_seed_uniform_whole(spark, d):
+    return _ppr_no_seed(spark, star.edges(spark, d))
 
 
 @query("with o as (select o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n, o_custkey as c from orders) select 'order/' || a.o_orderkey as src, 'order/' || b.o_orderkey as dst from o a join o b on a.c = b.c and a.n > b.n")
@@ -275,27 +296,51 @@ def node_iri(spark, d):
 
 
 _S = f"'{NAMESPACE}stmt/' || n"
-_TRIPLES = f"""nodes as (select * from ({N}) x where type in ('Concept', 'Person', 'Source')), edges as ({C}), e as (select *, row_number() over (order by seq) - 1 as n, {_iri("src")} as s, '{NAMESPACE}' || predicate as p, {_iri("dst")} as o from edges),
+
+
+def _triples(nodes: str, edges: str, more: str = "") -> str:
+    return f"""nodes as ({nodes}), edges as ({edges}), e as (select *, row_number() over (order by seq) - 1 as n, {_iri("src")} as s, '{NAMESPACE}' || predicate as p, {_iri("dst")} as o from edges),
 triples as (select {_iri("id")} as s, '{RDF}type' as p, '{NAMESPACE}' || type as o, 'iri' as o_kind, cast(null as varchar) as o_datatype from nodes
 union select {_iri("id")}, '{SCHEMA}name', name, 'literal', null from nodes union select s, p, o, 'iri', null from e union select {_S}, '{RDF}type', '{RDF}Statement', 'iri', null from e
 union select {_S}, '{RDF}subject', s, 'iri', null from e union select {_S}, '{RDF}predicate', p, 'iri', null from e union select {_S}, '{RDF}object', o, 'iri', null from e
-union select {_S}, '{NAMESPACE}confidence', confidence::varchar, 'literal', '{XSD}decimal' from e)"""
+union select {_S}, '{NAMESPACE}confidence', confidence::varchar, 'literal', '{XSD}decimal' from e{more})"""
+
+
+_TRIPLES = _triples(f"select * from ({N}) x where type in ('Concept', 'Person', 'Source')", C)
+_WHOLE = _triples(N, E, f" union select {_S}, '{NAMESPACE}provenance', note_path, 'literal', null from e where note_path <> ''")
 
 
 def _core(spark, d):
     return star.nodes(spark, d).where("type in ('Concept', 'Person', 'Source')"), star.core_edges(spark, d)
 
 
+def _whole(spark, d):
+    return star.nodes(spark, d), star.edges(spark, d)
+
+
 @query(f"with {_TRIPLES} select * from triples")
 def rdf_triples(spark, d):
     return rdf.export(*_core(spark, d))
 
 
-@query(f"with {_TRIPLES} select '<' || s || '> <' || p || '> ' || case when o_kind = 'iri' then '<' || o || '>' else '\"' || replace(o, '\"', '\\\"') || '\"' || coalesce('^^<' || o_datatype || '>', '') end || ' .' as line from triples")
+@query(f"with {_WHOLE} select * from triples")
+def rdf_triples_whole(spark, d):
+    return rdf.export(*_whole(spark, d))
+
+
+_LINES = "select '<' || s || '> <' || p || '> ' || case when o_kind = 'iri' then '<' || o || '>' else '\"' || replace(o, '\"', '\\\"') || '\"' || coalesce('^^<' || o_datatype || '>', '') end || ' .' as line from triples"
+
+
+@query(f"with {_TRIPLES} {_LINES}")
 def turtle_lines(spark, d):
     return sinks.turtle_lines(rdf.export(*_core(spark, d)))
 
 
+@query(f"with {_WHOLE} {_LINES}")
+def turtle_lines_whole(spark, d):
+    return sinks.turtle_lines(rdf.export(*_whole(spark, d)))
+
+
 def _faulty(spark, d):
     """Triples of orders with a status from each of their lines; every tenth without a type, every seventh without a name."""
     star.views(spark, d)
@@ -334,16 +379,40 @@ def nodes_of_type(spark, d):
     return sparql.nodes_of_type(star.nodes(spark, d), "Concept")
 
 
-@query(f"with {_TRIPLES} select c.s as c, n.s as n, l.o as name from triples c join triples n on c.o = n.s join triples l on l.s = n.s where c.p = '{NAMESPACE}is_part_of' and n.p = '{NAMESPACE}broader' and n.o = '{NAMESPACE}n/region%2F1' and l.p = '{SCHEMA}name'")
-def bgp_join(spark, d):
+_BGP = f"select c.s as c, n.s as n, l.o as name from triples c join triples n on c.o = n.s join triples l on l.s = n.s where c.p = '{NAMESPACE}is_part_of' and n.p = '{NAMESPACE}broader' and n.o = '{NAMESPACE}n/region%2F1' and l.p = '{SCHEMA}name'"
+
+
+def _bgp(triples):
     q = sparql.parse(f"SELECT ?c ?n ?name WHERE {{ ?c kl:is_part_of ?n . ?n kl:broader <{NAMESPACE}n/region%2F1> ; schema:name ?name }}")
-    return sparql.run(rdf.export(*_core(spark, d)), q)
+    return sparql.run(triples, q)
 
 
-@query("select count(*) > 0 as answer from nation where n_nationkey = 3 and n_regionkey = 1")
-def ask_entailed(spark, d):
+@query(f"with {_TRIPLES} {_BGP}")
+def bgp_join(spark, d):
+    return _bgp(rdf.export(*_core(spark, d)))
+
+
+@query(f"with {_WHOLE} {_BGP}")
+def bgp_join_whole(spark, d):
+    return _bgp(rdf.export(*_whole(spark, d)))
+
+
+_ENTAILED = "select count(*) > 0 as answer from nation where n_nationkey = 3 and n_regionkey = 1"
+
+
+def _ask(triples):
     q = sparql.parse(f"ASK {{ <{NAMESPACE}n/nation%2F3> kl:broader+ <{NAMESPACE}n/region%2F1> }}")
-    return sparql.run(rdf.export(*_core(spark, d)), q)
+    return sparql.run(triples, q)
+
+
+@query(_ENTAILED)
+def ask_entailed(spark, d):
+    return _ask(rdf.export(*_core(spark, d)))
+
+
+@query(_ENTAILED)
+def ask_entailed_whole(spark, d):
+    return _ask(rdf.export(*_whole(spark, d)))
 
 
 # --- reasoning ---
@@ -357,6 +426,12 @@ def subclass_entail(spark, d):
     return types
 
 
+@query(f"{WITH} select id, type from nodes union select id, {_OVER} from nodes")
+def subclass_entail_whole(spark, d):
+    types, _ = reason.entail(*_whole(spark, d))
+    return types
+
+
 @query(f"select distinct 'order/' || o_custkey as id, unnest(['Person', '{SUPERCLASS['Person']}']) as type from orders")
 def range_entail(spark, d):
     star.views(spark, d)
