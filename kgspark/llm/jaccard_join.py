@@ -1,6 +1,7 @@
 """N-gram Jaccard join with Bayesian pruning of candidates.
 
-Texts are sets of word 5-grams; equal sets are one class, its smallest doc_id stands for it. MinHash values in bands make
+Texts are sets of word 5-grams; equal sets are one class. Its number is its smallest doc_id or, where another class with that
+doc_id has it already, one that is no doc_id. MinHash values in bands make
 candidates; classes whose bands meet, directly or through others, are dealt out together, in blocks where they are many. In a
 block, pairs that share a band compare MinHash values step by step and are dropped when the posterior probability that their
 similarity reaches the threshold falls below a tolerance; for the rest shingle sets are compared. Blocks return counts of links
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, id_and_text, shared_dir, slices, written
+from .common import HOT, id_and_text, join_unique, shared_dir, slices, written
 from .components import components
 
 NGRAM, SIMILARITY = 5, 0.8
@@ -96,15 +97,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         own = [shingles(t) for t in batch.column(1).to_pylist()]
         bands = bands_of(np.array([signature(s) for s in own]))
-        cols = [batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array([b.tobytes() for b in bands], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n_shingles", "bands"])
+        cols = [batch.column(0), batch.column(2), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array([b.tobytes() for b in bands], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "said", "key", "n_shingles", "bands"])
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), BANDS)), pa.array(bands)], names=["rep", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), BANDS)), pa.array(bands)], names=["node", "band"])
 
 
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +113,7 @@ def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [shingles(t) for t in batch.column(1).to_pylist()]
         same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(own, batch.column(5).to_pylist())], pa.bool_())
         cols = [*(batch.column(i) for i in (0, 2, 3, 4)), pa.array([signature(s).tobytes() for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())]
-        # a doc_id that comes again with another text doesn't stand for this class
-        yield pa.RecordBatch.from_arrays(cols, names=["rep", "size", "component", "blocks", "values", "shingles"]).filter(same)
+        yield pa.RecordBatch.from_arrays(cols, names=["node", "size", "component", "blocks", "values", "shingles"]).filter(same)
 
 
 def links_within(shingle_sets: list[np.ndarray], values: np.ndarray, block: np.ndarray, crossed: bool, similarity: float = SIMILARITY):
@@ -168,12 +168,12 @@ def links_within(shingle_sets: list[np.ndarray], values: np.ndarray, block: np.n
 
 
 def _block(key: tuple, table: pa.Table) -> pa.Table:
-    reps, at = np.unique(np.asarray(table["rep"]), return_index=True)
+    nodes, at = np.unique(np.asarray(table["node"]), return_index=True)
     table = table.take(pa.array(at))
     sets = [np.frombuffer(b, np.uint64) for b in table["shingles"].to_pylist()]
-    values = np.frombuffer(b"".join(table["values"].to_pylist()), np.uint32).reshape(len(reps), -1)
+    values = np.frombuffer(b"".join(table["values"].to_pylist()), np.uint32).reshape(len(nodes), -1)
     size, block = np.asarray(table["size"]), np.asarray(table["block"])
-    count, parent = np.zeros(len(reps), np.int64), list(range(len(reps)))
+    count, parent = np.zeros(len(nodes), np.int64), list(range(len(nodes)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -186,68 +186,101 @@ def _block(key: tuple, table: pa.Table) -> pa.Table:
         for j in js.tolist():
             a, b = root(i), root(j)
             parent[max(a, b)] = min(a, b)
-    top = np.array([root(x) for x in range(len(reps))])
+    top = np.array([root(x) for x in range(len(nodes))])
     some = np.flatnonzero(count)
-    return pa.table({"rep": reps[some], "links": count[some], "top": reps[top[some]]})
-
-
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links, copy_id, n_shingles of each row of docs (doc_id, text).
-
-    Two rows are linked if the Jaccard similarity of their sets of word 5-grams is SIMILARITY or more; n_links is the number of
-    other rows a row is linked with, copies among them; class_id is the smallest doc_id that links lead to, copy_id the smallest
-    with an equal set. A text without words (null, empty) has no shingles, is linked with nothing and is its own class and copy.
-    Rows with a null doc_id get null ids and no links and give none. Rows that repeat a doc_id are rows of their own; where they differ in
-    text, class_id is found for each. An empty table gives an empty result; other columns of docs are not read.
-    """
+    return pa.table({"node": nodes[some], "links": count[some], "top": nodes[top[some]]})
+
+
+def numbered(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """classes (key, rep, ...) with node, their number; and key, rep and node of those whose node isn't their rep (None: there
+    are none), because another class has the same rep."""
+    shared = written(classes.groupBy("rep").agg(F.min("key").alias("owner"), F.count("*").alias("held")).where("held > 1").select("rep", "owner"), "shared")
+    if shared.isEmpty():
+        return classes.withColumn("node", F.col("rep")), None
+    low, high = classes.agg(F.min("rep"), F.max("rep")).first()
+    free = 1 << 56  # more than the numbers given below
+    if high + free < 1 << 63:
+        node = F.lit(high + 1) + F.monotonically_increasing_id()
+    elif low - free >= -(1 << 63):
+        node = F.lit(low - 1) - F.monotonically_increasing_id()
+    else:
+        raise ValueError("doc_ids that repeat with different texts reach both ends of the range of 64 bits")
+    others = written(join_unique(classes.select("key", "rep"), shared, "rep").where("key <> owner").select("key", "rep", node.alias("node")), "others")
+    return written(classes.join(others.select("key", "node"), "key", "left").withColumn("node", F.coalesce("node", "rep")), "classes"), others
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """What jaccard_join() gives, with said (hash of the text) and chosen (the row is of the class that stands for its class_id,
+    and has its doc_id; null if it has no words or doc_id)."""
     shared_dir(docs.sparkSession)
-    texts = id_and_text(docs)
-    every = written(texts.mapInArrow(_features, "doc_id long, key binary, n_shingles long, bands binary"), "features")
+    texts = id_and_text(docs).withColumn("said", F.xxhash64("text"))
+    every = written(texts.mapInArrow(_features, "doc_id long, said long, key binary, n_shingles long, bands binary"), "features")
     rows = every.where("doc_id is not null and n_shingles > 0")
-    classes = written(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands")), "classes")
+    classes = written(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.min_by("said", F.struct("doc_id", "said")).alias("rep_said"), F.first("bands").alias("bands")), "classes")
+    classes, others = numbered(classes)
     n = rows.count()
 
-    bands = written(classes.select("rep", "bands").mapInArrow(_band_rows, "rep long, band long"), "bands")
-    met = written(bands.groupBy("band").agg(F.min("rep").alias("center"), F.count("*").alias("held")).where("held > 1"), "met")
+    bands = written(classes.select("node", "bands").mapInArrow(_band_rows, "node long, band long"), "bands")
+    met = written(bands.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("held")).where("held > 1"), "met")
     most = max(1, n * BANDS // HOT)  # so that fewer than HOT bands are hot
-    near = bands.join(F.broadcast(met.where(F.col("held") > most)), "band").select("rep", "center")
-    far = bands.join(met.where(F.col("held") <= most), "band").select("rep", "center")
+    near = bands.join(F.broadcast(met.where(F.col("held") > most)), "band").select("node", "center")
+    far = bands.join(met.where(F.col("held") <= most), "band").select("node", "center")
     # a class's bands have BANDS centers at most; it is tied to the least of them, and so are the others
-    ties = near.unionByName(far).groupBy("rep").agg(F.min("center").alias("least"), F.collect_set("center").alias("centers"))
-    ties = ties.select(F.col("least").alias("u"), F.explode(F.array_union("centers", F.array("rep"))).alias("v")).where("u <> v")
+    ties = near.unionByName(far).groupBy("node").agg(F.min("center").alias("least"), F.collect_set("center").alias("centers"))
+    ties = ties.select(F.col("least").alias("u"), F.explode(F.array_union("centers", F.array("node"))).alias("v")).where("u <> v")
     together = components(ties)
 
     blocks = together.groupBy("component").agg(F.count("*").alias("members"))
     blocks = blocks.select("component", F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"))
-    wanted = written(together.join(blocks, "component").join(classes, F.col("node") == F.col("rep")).select("rep", "size", "component", "blocks", "key"), "wanted")
+    wanted = written(together.join(blocks, "component").join(classes, "node").select("node", "rep", "rep_said", "size", "component", "blocks", "key"), "wanted")
     dealt = max(1, -(-wanted.where("blocks = 1").count() // BLOCK))
-    payload = texts.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text", "size", "component", "blocks", "key")
-    payload = payload.mapInArrow(_payload, "rep long, size long, component long, blocks long, values binary, shingles binary")
-    payload = payload.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), "blocks")).otherwise(F.lit(0).cast("long")))
+    payload = texts.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("said") == F.col("rep_said"))).select("node", "text", "size", "component", "blocks", "key")
+    payload = payload.mapInArrow(_payload, "node long, size long, component long, blocks long, values binary, shingles binary")
+    payload = payload.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), "blocks")).otherwise(F.lit(0).cast("long")))
     payload = payload.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     task = F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(dealt)) - dealt)
     groups = payload.groupBy(task.alias("task"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-    found = written(groups.applyInArrow(_block, "rep long, links long, top long"), "links")
-
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    tops = components(found.where("rep <> top").select(F.col("rep").alias("u"), F.col("top").alias("v")))
-    known = classes.select("key", "rep", "size").join(links, "rep", "left").join(tops.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    known = written(known.select("key", F.col("rep").alias("copy_id"), "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("class_id")), "known")
+    found = written(groups.applyInArrow(_block, "node long, links long, top long"), "links")
+
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    tops = components(found.where("node <> top").select(F.col("node").alias("u"), F.col("top").alias("v")))
+    if others is None:
+        tops = tops.select("node", F.col("component").alias("class_id"), (F.col("node") == F.col("component")).alias("chosen"))
+    else:  # the least node isn't always that with the least doc_id
+        tops = written(tops.join(others.select("node", "rep"), "node", "left").withColumn("rep", F.coalesce("rep", "node")), "tops")
+        least = tops.groupBy("component").agg(F.min(F.struct("rep", "node")).alias("least"))
+        tops = join_unique(tops, written(least, "least"), "component").select("node", F.col("least.rep").alias("class_id"), (F.col("node") == F.col("least.node")).alias("chosen"))
+    known = classes.select("key", "rep", "node", "size").join(links, "node", "left").join(tops, "node", "left")
+    known = written(known.select("key", F.col("rep").alias("copy_id"), "size", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("chosen", F.lit(True)).alias("chosen")), "known")
     most = max(1, n // HOT)
-    own = rows.select("doc_id", "key", "n_shingles")
+    own = rows.select("doc_id", "said", "key", "n_shingles")
     result = own.join(F.broadcast(known.where(F.col("size") > most)), "key").unionByName(own.join(known.where(F.col("size") <= most), "key"))
-    alone = every.where("doc_id is null or n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"), "n_shingles")
-    return result.select("doc_id", "class_id", "n_links", "copy_id", "n_shingles").unionByName(alone)
+    result = result.select("doc_id", "class_id", "n_links", "copy_id", "n_shingles", "key", "said", (F.col("chosen") & (F.col("doc_id") == F.col("copy_id"))).alias("chosen"))
+    alone = every.where("doc_id is null or n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"), "n_shingles", "key", "said", F.lit(None).cast("boolean").alias("chosen"))
+    return result.unionByName(alone)
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links, copy_id, n_shingles of each row of docs (doc_id, text).
+
+    Two rows are linked if the Jaccard similarity of their sets of word 5-grams is SIMILARITY or more; n_links is the number of
+    other rows a row is linked with, copies among them; class_id is the smallest doc_id that links lead to, copy_id the smallest
+    with an equal set. A text without words (null, empty) has no shingles, is linked with nothing and is its own class and copy.
+    Rows with a null doc_id get null ids and no links and give none. Rows that repeat a doc_id are rows of their own; where they
+    differ in text, links and class_id are found for each. An empty table gives an empty result; other columns of docs are not read.
+    """
+    return _joined(docs).select("doc_id", "class_id", "n_links", "copy_id", "n_shingles")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of docs that stay, with the columns of docs: of each class the row with the smallest doc_id (of rows that repeat it
-    one), and all rows without words or doc_id."""
-    kept = jaccard_join(docs).where("doc_id is not null and n_shingles > 0 and doc_id = class_id").select(F.col("doc_id").alias("__id")).distinct()
+    """Rows of docs that stay, with the columns of docs: of each group of linked rows one with the smallest doc_id (of rows that
+    repeat it with equal sets one), and all rows without words or doc_id."""
+    kept = _joined(docs).where("chosen").groupBy(F.col("doc_id").alias("__id"), "key").agg(F.min("said").alias("__said")).select("__id", "__said")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("long").alias("__id"))
+    rows = rows.withColumn("__said", F.xxhash64(F.coalesce(F.col("__row.text").cast("string"), F.lit(""))))
     bare = F.length(F.translate(F.coalesce(F.col("__row.text").cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "")) == 0
     free = rows.where(F.col("__id").isNull() | bare).select("__row.*")
-    one = rows.where(F.col("__id").isNotNull() & ~bare).join(kept, "__id", "left_semi").groupBy("__id").agg(F.max_by("__row", F.xxhash64("__row")).alias("__row"))
+    one = rows.where(F.col("__id").isNotNull() & ~bare).join(kept, ["__id", "__said"], "left_semi").groupBy("__id", "__said").agg(F.max_by("__row", F.xxhash64("__row")).alias("__row"))
     return free.unionByName(one.select("__row.*"))
 
 

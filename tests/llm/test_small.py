@@ -219,6 +219,24 @@ def test_jaccard_blocks(docs, monkeypatch):
     assert {(r["doc_id"], r["n_links"], r["class_id"]) for r in jaccard_join.jaccard_join(docs).collect()} == whole
 
 
+def test_jaccard_of_a_repeated_doc_id(spark):
+    r = random.Random(11)
+    edit = lambda t, k: " ".join([*t.split(" ")[:k], "other", *t.split(" ")[k + 1 :]])
+    a, b, c, d, e = (passage(r, 100) for _ in range(5))
+    rows = [(3, b), (5, a), (5, edit(b, 50)), (5, edit(c, 50)), (8, c), (6, d), (6, edit(d, 30)), (6, e), (9, edit(e, 4)), (4, edit(e, 90)), (5, a + "  ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # by the row: doc_id, links, class, copy
+    want = [(3, 1, 3, 3), (5, 1, 5, 5), (5, 1, 3, 5), (5, 1, 5, 5), (8, 1, 5, 8), (6, 1, 6, 6), (6, 1, 6, 6), (6, 2, 4, 6), (9, 2, 4, 9), (4, 2, 4, 4), (5, 1, 5, 5)]
+    far = [(i + 2**63 - 10, t) for i, t in rows]
+    for shift, own in ((0, docs), (2**63 - 10, spark.createDataFrame(far, docs.schema))):
+        got = [(x["doc_id"] - shift, x["n_links"], x["class_id"] - shift, x["copy_id"] - shift) for x in jaccard_join.jaccard_join(own).collect()]
+        assert sorted(got) == sorted(want)
+    kept = Counter(tuple(x) for x in jaccard_join.stage(spark, docs, "").collect())
+    both = {(6, d), (6, edit(d, 30))}
+    assert len(both & kept.keys()) == 1 and sum(kept.values()) == 5
+    assert {(i, t.strip()) for i, t in kept if (i, t) not in both} == {(3, b), (5, a), (5, edit(c, 50)), (4, edit(e, 90))}
+
+
 def test_line_dedup(docs, rows, empty):
     con = duckdb.connect()
     held = [(i, t) for i, t in rows if i is not None]
