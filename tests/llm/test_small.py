@@ -270,6 +270,24 @@ def test_toxicity(spark, empty):
     assert {r["predicted"] for r in toxicity.toxicity(docs, labels.where("false")).collect()} == {0}
 
 
+def test_words_that_are_toxic_only_together(spark):
+    r, bad = random.Random(5), ["leave", "this", "house", "forever"]
+    texts = []
+    for i in range(600):
+        words = passage(r, 60).split(" ")
+        for w in bad:  # all texts hold the words, a fourth in a row
+            words.insert(r.randrange(len(words)), w)
+        if i % 4 == 0:
+            words = [w for w in words if w not in bad]
+            k = r.randrange(len(words))
+            words[k:k] = bad
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    held = [x for x in toxicity.toxicity(docs, labels).collect() if x["held_out"]]
+    assert sum(x["predicted"] == int(x["doc_id"] % 4 == 0) for x in held) >= 0.95 * len(held)
+
+
 def test_held_out_labels_are_not_read(spark):
     docs, labels = toxic_rows(spark)
     flipped = labels.selectExpr("doc_id", "quality", "case when crc32(cast(doc_id as string)) % 4 = 2 then 1 - toxic else toxic end as toxic")
