@@ -59,6 +59,16 @@ def seeds(notice: str, k: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(at, at[1:])]
 
 
+def matches(pattern: regex.Pattern, least: int, line: str, a: int, b: int) -> Iterator[regex.Match]:
+    """The best match in line from a to b, and those in what is left on both sides of it."""
+    left = [(a, b)]
+    while left:
+        a, b = left.pop()
+        if b - a >= least and (m := pattern.search(line, a, b)):
+            yield m
+            left += [(a, m.start()), (m.end(), b)]
+
+
 class Scanner:
     def __init__(self, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES):
         parts: dict[str, list] = {}
@@ -94,9 +104,9 @@ class Scanner:
                     else:
                         own.append((a, b))
         for notice, own in windows.items():
-            pattern = self.patterns[notice][1]
+            k, pattern = self.patterns[notice]
             for a, b in own:
-                spans += [(m.start(), m.end(), notice, False, sum(m.fuzzy_counts)) for m in pattern.finditer(line, a, b)]
+                spans += [(m.start(), m.end(), notice, False, sum(m.fuzzy_counts)) for m in matches(pattern, len(notice) - k, line, a, b)]
         if not spans:
             return len(words), []
         return len(words), self._rows(text, line, sorted(set(spans)))
@@ -120,7 +130,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Whole texts are read; a null or empty text has no words and no matches. A null doc_id stays null, rows that repeat a
     doc_id stay, an empty table gives an empty result and other columns of docs are not read. Where matches of a notice
-    overlap, the one that starts first is given; base phrases are given at each place.
+    overlap, the one with the fewest edits is given; base phrases are given at each place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -167,6 +167,14 @@ def test_license_base_and_fuzzy(docs, rows, empty):
     assert license_scan.scan(docs).count() == len(rows) and license_scan.scan(empty).count() == 0
 
 
+def test_an_inexact_copy_before_an_exact_one_is_found():
+    copies = ["released under the mit licence", "released under the mit license", "released under teh mit license"]
+    for own in (copies[:2], copies[1::-1], copies, copies[::-1]):
+        _, found = license_scan.Scanner()(" ".join(own))
+        assert [(m["first_word"], m["last_word"], m["edits"] == 0) for m in found] == [(5 * i, 5 * i + 4, t == copies[1]) for i, t in enumerate(own)]
+    assert len(license_scan.Scanner()(" ".join(copies[:2] * 600))[1]) == 1200
+
+
 @given(st.integers(0, 10**6))
 @settings(max_examples=40, deadline=None)
 def test_fuzzy_finds_planted_edits(seed):
