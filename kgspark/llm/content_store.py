@@ -25,7 +25,7 @@ from .common import id_and_text, join_unique, scratch, shared_dir, slices, writt
 from .tokens import tokenizer, vocabulary, word_tokenizer
 
 END = 1
-BITS, LEAST, MOST = 10, 256, 16384
+BITS, LEAST, MOST = 9, 128, 8192
 STAGED = "doc_id long, n_tokens long, addresses array<binary>, address binary, ids binary"
 
 
@@ -142,14 +142,22 @@ def write_store(docs: DataFrame, path: str, vocabulary_path: str, end: int = END
     offsets = spark.createDataFrame(list(zip(sorted(sizes), starts)), "part int, at long")
     whole = recipes.join(F.broadcast(offsets), "part").select("part", "doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "addresses", "root")
     whole.write.option("compression", "zstd").parquet(f"{path}/recipes")
+    _per_part(spark, path).write.parquet(f"{path}/manifest")
+
+
+_RECIPES = "part int, doc_id long, start long, n_tokens long, addresses array<binary>, root binary"
+
+
+def _per_part(spark: SparkSession, path: str) -> DataFrame:
+    """part, n_docs, n_tokens, root over the documents of each part, from the stored recipes."""
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             leaves = [[r["root"] for r in rows] for rows in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([merkle(x) for x in leaves], pa.binary())], names=["part", "n_docs", "n_tokens", "root"])
 
-    per_part = spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("start", "root"))).alias("rows"))
-    per_part.mapInArrow(roots, "part int, n_docs long, n_tokens long, root binary").write.parquet(f"{path}/manifest")
+    per_part = spark.read.schema(_RECIPES).parquet(f"{path}/recipes").groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("start", "root"))).alias("rows"))
+    return per_part.mapInArrow(roots, "part int, n_docs long, n_tokens long, root binary")
 
 
 # --- reading ---
@@ -175,10 +183,20 @@ def read_chunks(spark: SparkSession, path: str, item: int) -> DataFrame:
     return spark.read.schema("address binary, ids binary").parquet(f"{path}/chunks").mapInArrow(run, "address binary, n long, crc long")
 
 
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """An error if the recipes aren't those of the manifest: counts and roots of each part."""
+    held, told = _per_part(spark, path), spark.read.schema("part int, n_docs long, n_tokens long, root binary").parquet(f"{path}/manifest")
+    odd = held.exceptAll(told).select("part").union(told.exceptAll(held).select("part")).distinct().limit(10).collect()
+    if odd:
+        raise ValueError(f"recipes of parts {sorted(r['part'] for r in odd)} are damaged or lost")
+
+
 def read_store(spark: SparkSession, path: str, item: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and verified (the recipe's root and length are those of its stored chunks) of each
-    document, from the store's files; ``item``: bytes of a stored id."""
-    recipes = spark.read.schema("part int, doc_id long, start long, n_tokens long, addresses array<binary>, root binary").parquet(f"{path}/recipes")
+    document, from the store's files; ``item``: bytes of a stored id. Recipes that differ from the manifest are an error, and so
+    is a document whose chunks are lost or not its own."""
+    check_manifest(spark, path)
+    recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
     uses = recipes.select("start", F.posexplode("addresses").alias("pos", "address"))
     found = join_unique(uses, written(read_chunks(spark, path, item), "read"), "address")
     lists = found.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "crc", "address"))).alias("parts"))
@@ -188,6 +206,8 @@ def read_store(spark: SparkSession, path: str, item: int = 2) -> DataFrame:
             if not batch.num_rows:
                 continue
             column = batch.column(4)
+            if column.null_count:
+                raise ValueError(f"all chunks of {column.null_count} documents are lost")
             parts = column.flatten()
             firsts = np.asarray(column.offsets)[:-1] - column.offsets[0].as_py()
             n, crc = (np.asarray(parts.field(k), np.int64) for k in (1, 2))
@@ -196,9 +216,11 @@ def read_store(spark: SparkSession, path: str, item: int = 2) -> DataFrame:
             last = np.append(firsts[1:], len(n))
             good = [root == merkle(addresses[a:b]) for root, a, b in zip(batch.column(3).to_pylist(), firsts, last)]
             good = np.array(good) & (np.add.reduceat(n, firsts) == np.asarray(batch.column(2)))
+            if not good.all():
+                raise ValueError(f"chunks of {np.count_nonzero(~good)} documents are lost or not their own")
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64()), pa.array(good, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "verified"])
 
-    return recipes.join(lists, "start").select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
+    return recipes.join(lists, "start", "left").select("doc_id", "start", "n_tokens", "root", "parts").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -209,6 +209,21 @@ def test_damage_is_found(spark, docs, tmp_path):
         content_store.read_chunks(spark, f"{path}-2", 2).collect()
 
 
+def test_loss_is_found(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/store"
+    content_store.write_store(docs, path, tokens.vocabulary("word_bpe_49k.json"))
+    n = content_store.read_store(spark, path).count()
+    for name, lost in (("recipes", "doc_id = 3"), ("recipes", "doc_id is null"), ("chunks", "address = (select min(address) from chunks)")):
+        other = f"file://{tmp_path}/{name}-{len(lost)}"
+        for x in ("recipes", "chunks", "manifest"):
+            table = spark.read.parquet(f"{path}/{x}")
+            table.createOrReplaceTempView(x)
+            (spark.sql(f"select * from {x} where not coalesce({lost}, false)") if x == name else table).write.parquet(f"{other}/{x}")
+        with pytest.raises(Exception, match="lost"):
+            content_store.read_store(spark, other).collect()
+    assert n == docs.count() and (content_store.BITS, content_store.LEAST, content_store.MOST) == (9, 128, 8192)
+
+
 def test_jaccard(docs, rows, empty):
     sets = [frozenset(jaccard_join.shingles(t or "").tolist()) if i is not None else frozenset() for i, t in rows]
     close = lambda a, b: bool(a and b) and len(a & b) >= 0.8 * len(a | b)
