@@ -22,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = sc.getCheckpointDir()
     if not folder:
-        folder = "file:///tmp/checkpoints"
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file:///tmp/checkpoints"  # one machine only, as in tests
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -131,3 +133,37 @@ def join_unique(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     near = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
     far = near.where("__hot is null").select(*rows.columns).join(table, key)
     return near.where("__hot").drop("__hot").unionByName(far)
+
+
+#: Bits of a filter for each of its keys, and most bits in all (32 MB), however many keys there are; a full filter passes more.
+FILTER_BITS, FILTER_MOST = 16, 1 << 28
+
+
+def may_match(rows: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """rows with __may: false only where no row of ``keys`` has the same values of ``by`` (same types in both).
+
+    A Bloom filter of one hash, broadcast as bitmaps, so that rows which can't join never enter a shuffle; it is made anew from
+    ``keys``, which should be a written table.
+    """
+    bits = min(FILTER_MOST, max(1 << 15, 1 << (FILTER_BITS * keys.count()).bit_length()))
+    slot = F.xxhash64(*by).bitwiseAND(F.lit(bits - 1))
+    at = F.col("__slot").bitwiseAND(F.lit((1 << 15) - 1))
+    filled = keys.select(slot.alias("__slot")).groupBy(F.shiftright("__slot", 15).alias("__part")).agg(F.bitmap_construct_agg(at).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = rows.withColumn("__slot", slot).withColumn("__part", F.shiftright("__slot", 15)).join(F.broadcast(filled), "__part", "left")
+    may = F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], may.alias("__may"))
+
+
+def rows_that_stay(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """docs without the rows that go. ``told`` (id long, said long: the hash of the row's text, stay boolean) names the (doc_id,
+    text) of which all rows go, or, where stay is true, all but one; rows it doesn't name all stay.
+
+    Only rows that may be named are shuffled. A null doc_id counts as a key of its own; a null text as empty.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    rows = may_match(rows.select("__row", key.alias("__id"), F.xxhash64("__text").alias("said")), told.select(key.alias("__id"), "said"), ["__id", "said"])
+    near = rows.where("__may").drop("__may").join(told.select(key.alias("__id"), "said", "stay"), ["__id", "said"], "left")
+    one = near.where("stay").groupBy("__id", "said").agg(F.max_by("__row", F.xxhash64("__row")).alias("__row"))
+    return rows.where(~F.col("__may")).select("__row.*").unionByName(near.where("stay is null").select("__row.*")).unionByName(one.select("__row.*"))

@@ -1,11 +1,11 @@
 """N-gram Jaccard join with Bayesian pruning of candidates.
 
 Texts are sets of word 5-grams; equal sets are one class. Its number is its smallest doc_id or, where another class with that
-doc_id has it already, one that is no doc_id. MinHash values in bands make
-candidates; classes whose bands meet, directly or through others, are dealt out together, in blocks where they are many. In a
-block, pairs that share a band compare MinHash values step by step and are dropped when the posterior probability that their
-similarity reaches the threshold falls below a tolerance; for the rest shingle sets are compared. Blocks return counts of links
-and a spanning forest, never pairs.
+doc_id has it already, one that is no doc_id. MinHash values in bands make candidates: in each band that classes share they
+compare their values step by step, and a pair is dropped when the posterior probability that its similarity reaches the
+threshold falls below a tolerance. What is kept joins classes to small components; only their texts are read again, and only
+within a component, in blocks where it is large, shingle sets are compared. Blocks return counts of links and a spanning
+forest, never pairs. So classes that share a band by chance never bring their texts together.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, id_and_text, join_unique, shared_dir, slices, written
+from .common import HOT, id_and_text, join_unique, may_match, rows_that_stay, shared_dir, slices, written
 from .components import components
 
 NGRAM, SIMILARITY = 5, 0.8
@@ -27,8 +27,10 @@ NGRAM, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
 #: Values compared in a step, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 32, 1e-6
-#: Classes of a block; memory of a task is that of two blocks.
-BLOCK = 400
+#: Of each MinHash value 8 bits are kept: two differing ones agree with this probability.
+CHANCE = 1 / 256
+#: Classes of a block; memory of a task is that of two blocks. Classes of a band (a signature each) that are compared in one task.
+BLOCK, MEMBERS = 400, 4096
 MEMO = 400_000
 _WORDS: dict[bytes, int] = {}
 
@@ -66,53 +68,98 @@ def shingles(text: str, n: int = NGRAM) -> np.ndarray:
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """The MinHash values (32 bits each) of a set of shingles."""
+    """The MinHash values (their low 8 bits) of a set of shingles."""
     least = np.full(len(_A), 0xFFFFFFFF, np.uint32)
     for i in range(0, len(own), 1024):  # bounded memory for long texts
         part = ((own[None, i : i + 1024] * _A[:, None] + _B[:, None]) >> np.uint64(32)).astype(np.uint32)
         np.minimum(least, part.min(axis=1), out=least)
-    return least
+    return least.astype(np.uint8)
 
 
-def bands_of(signatures: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each band of each signature; the band's number is in it."""
-    parts = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2]).copy()
+def bands_of(values: np.ndarray) -> np.ndarray:
+    """A number for each band of each signature: the band's number and its values side by side."""
+    parts = values.reshape(len(values), BANDS, ROWS).astype(np.int64)
+    h = np.broadcast_to(np.arange(BANDS, dtype=np.int64), parts.shape[:2]).copy()
     for k in range(ROWS):
-        h = _mix(h * np.uint64(31) + parts[:, :, k] + np.uint64(k + 1))
+        h = h << 8 | parts[:, :, k]
     return h
 
 
 def least_matches(similarity: float = SIMILARITY, tolerance: float = TOLERANCE) -> dict[int, int]:
-    """For each number of values compared the fewest equal ones with which a pair stays: with a uniform prior the similarity's
-    posterior is Beta(m + 1, n - m + 1), and P(at least t) is the probability of at most m successes in n + 1 trials of t."""
-    found = {}
+    """For each number of values compared the fewest equal ones with which a pair stays: with a uniform prior the posterior of
+    the share of equal values is Beta(m + 1, n - m + 1), and P(at least t) is the probability of at most m successes in n + 1
+    trials of t, the share at the threshold."""
+    found, t = {}, similarity + (1 - similarity) * CHANCE
     for n in range(STEP, BANDS * ROWS + 1, STEP):
-        chance = [math.comb(n + 1, k) * similarity**k * (1 - similarity) ** (n + 1 - k) for k in range(n + 2)]
+        chance = [math.comb(n + 1, k) * t**k * (1 - t) ** (n + 1 - k) for k in range(n + 2)]
         found[n] = next(m for m in range(n + 1) if math.fsum(chance[: m + 1]) >= tolerance)
     return found
 
 
+def kept_by_values(values: np.ndarray, x: np.ndarray, y: np.ndarray, need: dict[int, int]) -> np.ndarray:
+    """Which of the pairs (x, y) stay when their values are compared step by step."""
+    at, m = np.arange(max(len(x), len(y))), np.zeros(max(len(x), len(y)), np.int32)
+    x, y = np.broadcast_to(x, len(at)), np.broadcast_to(y, len(at))
+    for n in range(STEP, BANDS * ROWS + 1, STEP):
+        m += (values[x[at], n - STEP : n] == values[y[at], n - STEP : n]).sum(axis=1)
+        stay = m >= need[n]
+        at, m = at[stay], m[stay]
+    return at
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         own = [shingles(t) for t in batch.column(1).to_pylist()]
-        bands = bands_of(np.array([signature(s) for s in own]))
-        cols = [batch.column(0), batch.column(2), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array([b.tobytes() for b in bands], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "said", "key", "n_shingles", "bands"])
+        cols = [batch.column(0), batch.column(2), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array([signature(s).tobytes() for s in own], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "said", "key", "n_shingles", "values"])
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), BANDS)), pa.array(bands)], names=["node", "band"])
+            bands = bands_of(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), BANDS)), pa.array(bands.ravel())], names=["node", "band"])
+
+
+def forest(values: np.ndarray, need: dict[int, int]) -> np.ndarray:
+    """For each signature the first of those it is joined with, directly or through others, by pairs that pruning keeps. Each is
+    compared with those not reached yet, so a group of alike ones costs little more than one pass."""
+    top, left = np.arange(len(values)), np.arange(len(values))
+    while len(left):
+        first, left = left[0], left[1:]
+        reached = [first]
+        while reached and len(left):
+            at = kept_by_values(values, np.array([reached.pop()]), left, need)
+            top[left[at]] = first
+            reached += left[at].tolist()
+            left = np.delete(left, at)
+    return top
+
+
+def _kin(key: tuple, table: pa.Table) -> pa.Table:
+    """Joins of a task's bands (node, values, band): u and v, in trees."""
+    node, band = np.asarray(table["node"]), np.asarray(table["band"])
+    values = np.frombuffer(b"".join(table["values"].to_pylist()), np.uint8).reshape(len(node), -1)
+    order = np.lexsort((node, band))
+    node, values = node[order], values[order]
+    first = np.flatnonzero(np.diff(band[order], prepend=-1))
+    sizes, need = np.diff(np.append(first, len(node))), least_matches()
+    pairs = first[sizes == 2]  # most bands
+    pairs = pairs[kept_by_values(values, pairs, pairs + 1, need)] if len(pairs) else pairs
+    us, vs = [node[pairs]], [node[pairs + 1]]
+    for a, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        top = forest(values[a : a + n], need)
+        some = np.flatnonzero(top != np.arange(n))
+        us.append(node[a + top[some]])
+        vs.append(node[a + some])
+    return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
 
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         own = [shingles(t) for t in batch.column(1).to_pylist()]
         same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(own, batch.column(5).to_pylist())], pa.bool_())
-        cols = [*(batch.column(i) for i in (0, 2, 3, 4)), pa.array([signature(s).tobytes() for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())]
+        cols = [*(batch.column(i) for i in (0, 2, 3, 4, 6)), pa.array([s.tobytes() for s in own], pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, names=["node", "size", "component", "blocks", "values", "shingles"]).filter(same)
 
 
@@ -123,7 +170,7 @@ def links_within(shingle_sets: list[np.ndarray], values: np.ndarray, block: np.n
     for k in range(BANDS):
         order = np.argsort(bands[:, k], kind="stable")
         same = bands[order, k]
-        edges = np.flatnonzero(np.diff(same, prepend=same[0] ^ np.uint64(1)))
+        edges = np.flatnonzero(np.diff(same, prepend=-1))
         for a, b in zip(edges, np.append(edges[1:], len(same))):
             if b - a < 2:
                 continue
@@ -137,13 +184,9 @@ def links_within(shingle_sets: list[np.ndarray], values: np.ndarray, block: np.n
                 x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
                 new = ~(bands[x, :k] == bands[y, :k]).any(axis=1) if k else np.ones(len(x), bool)
                 x, y = x[new], y[new]
-                m = np.zeros(len(x), np.int32)
-                for n in range(STEP, BANDS * ROWS + 1, STEP):
-                    m += (values[x, n - STEP : n] == values[y, n - STEP : n]).sum(axis=1)
-                    keep = m >= need[n]
-                    x, y, m = x[keep], y[keep], m[keep]
-                firsts.append(x)
-                seconds.append(y)
+                stay = kept_by_values(values, x, y, need)
+                firsts.append(x[stay])
+                seconds.append(y[stay])
     if not firsts or not sum(map(len, firsts)):
         return
     first, second = np.concatenate(firsts), np.concatenate(seconds)
@@ -171,7 +214,7 @@ def _block(key: tuple, table: pa.Table) -> pa.Table:
     nodes, at = np.unique(np.asarray(table["node"]), return_index=True)
     table = table.take(pa.array(at))
     sets = [np.frombuffer(b, np.uint64) for b in table["shingles"].to_pylist()]
-    values = np.frombuffer(b"".join(table["values"].to_pylist()), np.uint32).reshape(len(nodes), -1)
+    values = np.frombuffer(b"".join(table["values"].to_pylist()), np.uint8).reshape(len(nodes), -1)
     size, block = np.asarray(table["size"]), np.asarray(table["block"])
     count, parent = np.zeros(len(nodes), np.int64), list(range(len(nodes)))
 
@@ -214,28 +257,35 @@ def _joined(docs: DataFrame) -> DataFrame:
     and has its doc_id; null if it has no words or doc_id)."""
     shared_dir(docs.sparkSession)
     texts = id_and_text(docs).withColumn("said", F.xxhash64("text"))
-    every = written(texts.mapInArrow(_features, "doc_id long, said long, key binary, n_shingles long, bands binary"), "features")
+    every = written(texts.mapInArrow(_features, "doc_id long, said long, key binary, n_shingles long, values binary"), "features")
     rows = every.where("doc_id is not null and n_shingles > 0")
-    classes = written(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.min_by("said", F.struct("doc_id", "said")).alias("rep_said"), F.first("bands").alias("bands")), "classes")
+    classes = written(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.min_by("said", F.struct("doc_id", "said")).alias("rep_said"), F.first("values").alias("values")), "classes")
     classes, others = numbered(classes)
     n = rows.count()
 
-    bands = written(classes.select("node", "bands").mapInArrow(_band_rows, "node long, band long"), "bands")
-    met = written(bands.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("held")).where("held > 1"), "met")
+    bands = written(classes.select("node", "values").mapInArrow(_band_rows, "node long, band long"), "bands")
+    met = written(bands.groupBy("band").agg(F.count("*").alias("held")).where("held > 1"), "met")
     most = max(1, n * BANDS // HOT)  # so that fewer than HOT bands are hot
-    near = bands.join(F.broadcast(met.where(F.col("held") > most)), "band").select("node", "center")
-    far = bands.join(met.where(F.col("held") <= most), "band").select("node", "center")
-    # a class's bands have BANDS centers at most; it is tied to the least of them, and so are the others
-    ties = near.unionByName(far).groupBy("node").agg(F.min("center").alias("least"), F.collect_set("center").alias("centers"))
-    ties = ties.select(F.col("least").alias("u"), F.explode(F.array_union("centers", F.array("node"))).alias("v")).where("u <> v")
-    together = components(ties)
+    tied = may_match(bands, met, ["band"]).where("__may").select("node", "band")
+    tied = tied.join(F.broadcast(met.where(F.col("held") > most)), "band").unionByName(tied.join(met.where(F.col("held") <= most), "band"))
+    parts = F.ceil(F.col("held") / MEMBERS).cast("long")
+    members = tied.join(classes.select("node", "values"), "node").withColumn("parts", parts)
+    members = members.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node", "band"), "parts")).otherwise(F.lit(0).cast("long")))
+    # a band of several parts goes to a task for each two of them
+    rest = F.when(F.col("parts") > 1, F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: x != F.col("part"))).otherwise(F.array(F.lit(0).cast("long")))
+    members = members.withColumn("other", F.explode(rest))
+    dealt = F.lit(max(1, met.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0] // (2 * BLOCK)))
+    task = F.when(F.col("parts") > 1, F.col("band")).otherwise(F.pmod(F.xxhash64("band"), dealt) - dealt)
+    members = members.groupBy(task.alias("task"), F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    together = components(members.applyInArrow(_kin, "u long, v long"))
 
     blocks = together.groupBy("component").agg(F.count("*").alias("members"))
     blocks = blocks.select("component", F.ceil(F.col("members") / BLOCK).cast("long").alias("blocks"))
-    wanted = written(together.join(blocks, "component").join(classes, "node").select("node", "rep", "rep_said", "size", "component", "blocks", "key"), "wanted")
+    wanted = together.join(blocks, "component").join(classes, "node").select("node", F.col("rep").alias("doc_id"), F.col("rep_said").alias("said"), "size", "component", "blocks", "key", "values")
+    wanted = written(wanted, "wanted")
     dealt = max(1, -(-wanted.where("blocks = 1").count() // BLOCK))
-    payload = texts.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("said") == F.col("rep_said"))).select("node", "text", "size", "component", "blocks", "key")
-    payload = payload.mapInArrow(_payload, "node long, size long, component long, blocks long, values binary, shingles binary")
+    payload = may_match(texts, wanted, ["doc_id", "said"]).where("__may").join(wanted, ["doc_id", "said"])
+    payload = payload.select("node", "text", "size", "component", "blocks", "key", "values").mapInArrow(_payload, "node long, size long, component long, blocks long, values binary, shingles binary")
     payload = payload.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), "blocks")).otherwise(F.lit(0).cast("long")))
     payload = payload.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     task = F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(dealt)) - dealt)
@@ -275,13 +325,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of docs that stay, with the columns of docs: of each group of linked rows one with the smallest doc_id (of rows that
     repeat it with equal sets one), and all rows without words or doc_id."""
-    kept = _joined(docs).where("chosen").groupBy(F.col("doc_id").alias("__id"), "key").agg(F.min("said").alias("__said")).select("__id", "__said")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("long").alias("__id"))
-    rows = rows.withColumn("__said", F.xxhash64(F.coalesce(F.col("__row.text").cast("string"), F.lit(""))))
-    bare = F.length(F.translate(F.coalesce(F.col("__row.text").cast("string"), F.lit("")), " \t\n\x0b\x0c\r", "")) == 0
-    free = rows.where(F.col("__id").isNull() | bare).select("__row.*")
-    one = rows.where(F.col("__id").isNotNull() & ~bare).join(kept, ["__id", "__said"], "left_semi").groupBy("__id", "__said").agg(F.max_by("__row", F.xxhash64("__row")).alias("__row"))
-    return free.unionByName(one.select("__row.*"))
+    rows = written(_joined(docs).where("chosen is not null").select(F.col("doc_id").alias("id"), "said", "key", "chosen"), "joined")
+    kept = rows.where("chosen").groupBy("id", "key").agg(F.min("said").alias("said")).select("id", "said", F.lit(True).alias("stay"))
+    each = rows.groupBy("id", "said").agg(F.count("*").alias("rows")).join(kept, ["id", "said"], "left")
+    return rows_that_stay(docs, written(each.where("stay is null or rows > 1").select("id", "said", F.coalesce("stay", F.lit(False)).alias("stay")), "told"))
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -68,9 +68,10 @@ def test_exact_dedup(docs, rows, empty):
 
 
 def test_chunk_hash_clashes_are_told_apart(spark):
-    recipes = spark.createDataFrame([(1, 1, "s1", [5, 6], [b"a", b"b"]), (2, 1, "s2", [5, 6], [b"x", b"b"]), (3, 1, "s1", [5, 6], [b"a", b"b"])], exact_dedup.RECIPE)
-    ids = {r["doc_id"]: tuple(r["ids"]) for r in exact_dedup.verified_lists(recipes).collect()}
-    assert ids[1] == ids[3] != ids[2]
+    rows = [(1, 0, 2, "x", [5, 6], [b"a", b"b"]), (2, 1, 2, "y", [5, 6], [b"a", b"c"]), (3, 2, 2, "x", [5, 6], [b"a", b"b"]), (3, 2, 2, "x", [5, 6], [b"a", b"b"])]
+    got = sorted((r["doc_id"], tuple(r["ids"])) for r in exact_dedup.verified_lists(spark.createDataFrame(rows, exact_dedup.RECIPE)).collect())
+    assert [i for i, _ in got] == [1, 2, 3, 3]
+    assert got[0][1] == got[2][1] == got[3][1] != got[1][1]
 
 
 def test_cuts_follow_content():
@@ -239,6 +240,7 @@ def test_jaccard(docs, rows, empty):
 def test_jaccard_blocks(docs, monkeypatch):
     whole = {(r["doc_id"], r["n_links"], r["class_id"]) for r in jaccard_join.jaccard_join(docs).collect()}
     monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "MEMBERS", 2)
     assert {(r["doc_id"], r["n_links"], r["class_id"]) for r in jaccard_join.jaccard_join(docs).collect()} == whole
 
 
