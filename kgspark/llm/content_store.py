@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cdc import cuts, gear_table
-from .common import id_and_text, join_unique, scratch, shared_dir, slices, written
+from .common import id_and_text, join_unique, may_match, scratch, shared_dir, slices, written
 from .tokens import tokenizer, vocabulary, word_tokenizer
 
 END = 1
@@ -127,7 +127,8 @@ def _in_order(rows: DataFrame) -> DataFrame:
             root = [merkle(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(start[:-1], pa.int64()), pa.array(root, pa.binary())], names=["doc_id", "n_tokens", "addresses", "part", "before", "root"])
 
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("addresses"))
+    # ranges of a second key too, so that rows without doc_id, or with the same, aren't one task's
+    ranged = rows.repartitionByRange("doc_id", F.xxhash64("addresses")).sortWithinPartitions("doc_id", F.xxhash64("addresses"))
     return ranged.withColumn("part", F.spark_partition_id()).mapInArrow(run, "doc_id long, n_tokens long, addresses array<binary>, part int, before long, root binary")
 
 
@@ -135,7 +136,11 @@ def write_store(docs: DataFrame, path: str, vocabulary_path: str, end: int = END
     """Encodes every whole text of docs (doc_id, text; null: empty), appends the id ``end`` and writes the store at path."""
     spark = docs.sparkSession
     staged = written(id_and_text(docs).mapInArrow(_staged(vocabulary_path, end), STAGED), "staged")
-    staged.where("address is not null").groupBy("address").agg(F.first("ids").alias("ids")).write.option("compression", "none").parquet(f"{path}/chunks")
+    chunks = staged.where("address is not null").select("address", "ids")
+    often = written(chunks.groupBy("address").agg(F.count("*").alias("n")).where("n > 1").select("address"), "often")
+    chunks = may_match(chunks, often, ["address"])  # chunks that came once are stored where they are
+    once = chunks.where(~F.col("__may")).select("address", "ids")
+    once.unionByName(chunks.where("__may").groupBy("address").agg(F.first("ids").alias("ids"))).write.option("compression", "none").parquet(f"{path}/chunks")
     recipes = written(_in_order(staged.where("address is null").select("doc_id", "n_tokens", "addresses")), "recipes")
     sizes = {r["part"]: r["n"] for r in recipes.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # a row for each file
     starts = np.cumsum([0, *(sizes[p] for p in sorted(sizes))]).tolist()

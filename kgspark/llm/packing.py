@@ -98,8 +98,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """pieces (any columns, among them length of 1 to capacity) with sequence_id and offset: gapless from 0 in each sequence.
 
-    Pieces are dealt by a hash of all their columns, so repeatably, into groups of about ``group``;
-    a group is packed whole in one task, whose size so doesn't grow with the input. ``pieces`` should be a written table.
+    Pieces are dealt by a hash of all their columns and their place in ``pieces``, which should be a written table (so a task
+    that runs again deals alike, and rows that repeat go to many groups), into groups of about ``group``; a group is packed whole
+    in one task, whose size so doesn't grow with the input.
     """
     n = pieces.count()
     groups = max(1, -(-n // group))
@@ -113,7 +114,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
         pdf["offset"] = offsets
         return pdf[[*names, "sequence_id", "offset"]]
 
-    return pieces.groupBy(F.pmod(F.xxhash64(*names), F.lit(groups)).alias("__group")).applyInPandas(run, schema)
+    dealt = pieces.select(*names, F.pmod(F.xxhash64(*names, F.monotonically_increasing_id()), F.lit(groups)).alias("__group"))
+    return dealt.groupBy("__group").applyInPandas(lambda key, pdf: run(key, pdf[names]), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -128,6 +130,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: in
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of docs packed into sequences, see pack_documents()."""
     return pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 

@@ -1,8 +1,8 @@
-"""Whole texts to token ids with the tokenizers library, each distinct word once per worker and batch.
+"""Whole texts to token ids with the tokenizers library, each distinct word once per worker.
 
-The vocabulary used drops white space and never merges across it, so a text's ids are those of its white-space-separated
-words in order. Words not met before are encoded together in one call and kept, up to a bound, for the batches that follow;
-a text with a separator on which Python and the tokenizer's pattern disagree (U+001C to U+001F) is encoded as it is.
+The vocabulary used drops white space and never merges across it, so a text's ids are those of its words in order. A word of
+Latin letters with ASCII punctuation after them is two units, any other word is one; units are found and looked up for a
+whole batch at once, in a table of bounded size that holds their bytes and ids. The library encodes units that aren't in it.
 """
 
 from __future__ import annotations
@@ -11,13 +11,25 @@ import re
 
 import numpy as np
 
-#: Words kept by a worker; about 150 bytes each. When full the store starts anew.
-WORDS = 900_000
-#: Characters that are one piece of the split where they stand together, and none of them with what is before.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_ODD = re.compile("[\x1c-\x1f]")
+#: Units and ids that a worker keeps; a unit of more than KEPT bytes goes to a small store by itself.
+SLOTS, IDS, KEPT, LONG = 1 << 20, 4 << 20, 32, 20_000
+#: Characters that are looked up at once.
+SEGMENT = 1 << 20
 _WORKERS: dict[str, "WordTokenizer"] = {}
 
+#: Classes of bytes of a text in lower case: ASCII white space; letters (a-z, bytes of U+00C0 to U+027F); ASCII marks, which are one
+#: piece of the library's split where they stand together, and none of them with letters before; all others.
+_SPACE, _LETTER, _MARK, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_CLASS[[*range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = _LETTER
+_CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _MARK
+#: Bytes of U+00D7 and U+00F7, which are no letters, and of U+0130, which has two characters in lower case.
+_SIGNS = re.compile(rb"\xc3[\x97\xb7]|\xc4\xb0")
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_NEXT = re.compile(r"[ \t\n\x0b\x0c\r]")
+
 
 def vocabulary(name: str) -> str:
     import public_tokenizers
@@ -33,78 +45,157 @@ def tokenizer(path: str):
     return t
 
 
-class WordTokenizer:
-    """Encodes batches of texts to uint16 or uint32 arrays.
+def parts_of(text: str, size: int = SEGMENT) -> list[str]:
+    """text cut at white space into parts of about ``size`` characters."""
+    at, parts = 0, []
+    while len(text) - at > size and (m := _NEXT.search(text, at + size)):
+        parts.append(text[at : m.start()])
+        at = m.start()
+    return [*parts, text[at:]]
 
-    A word of Latin letters, with or without ASCII punctuation after them, goes to the tokenizer's own model in lower
-    case and many to a call (its normaliser and its split would do the same to it); any other word goes through the whole
-    tokenizer alone.
-    """
 
-    def __init__(self, path: str, words: int = WORDS):
+class WordTokenizer:
+    """Encodes batches of texts to uint16 or uint32 arrays."""
+
+    def __init__(self, path: str, slots: int = SLOTS):
         from tokenizers import normalizers, pre_tokenizers
 
-        self.tokenizer, self.words, self.known = tokenizer(path), words, {}
+        self.tokenizer = tokenizer(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.plain = tokenizer(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.last = last
-        self.marks = {"": b""}
+        self.last, self.slots = last, slots
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros((self.slots, KEPT // 8), np.uint64)
+        self.first, self.count = np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int64)
+        self.pool, self.used, self.long = np.empty(1 << 18, self.dtype), 0, {}
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.dtype).tobytes() for w in words]
 
-    def _letters(self, cores: list[str]) -> None:
-        """Learns words that are one piece each: only a piece's last token ends a word."""
-        n = self.dtype.itemsize
-        for i in range(0, len(cores), 256):
-            part = cores[i : i + 256]
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """The ids of words that are one piece each, many to a call: only a piece's last token ends a word."""
+        n, out = self.dtype.itemsize, []
+        for i in range(0, len(words), 256):
+            part = words[i : i + 256]
             ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
             ends = ((np.flatnonzero(self.last[ids]) + 1) * n).tolist()
             assert len(ends) == len(part)
             raw = ids.tobytes()
-            self.known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-
-    def _learn(self, new: list[str]) -> None:
-        plain, odd = [], []
-        for w in new:
-            core = w.rstrip(_MARKS)
-            mark, core = w[len(core) :], core.lower()
-            if core.isalpha() and (core.isascii() or max(w) < "\u0250"):
-                plain.append((w, core, mark))
-            else:
-                odd.append(w)
-        self._letters(list({c for _, c, _ in plain}.difference(self.known)))
-        known, marks = self.known, self.marks
-        if len(marks) > 10_000:
-            marks.clear()
-            marks[""] = b""
-        new = list({m for _, _, m in plain}.difference(marks))
-        marks.update(zip(new, self._whole(new)))
-        known.update([(w, known[c] + marks[m]) for w, c, m in plain])
-        known.update(zip(odd, self._whole(odd)))
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def _pooled(self, units: list[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes units; where in the pool the ids of each begin, and how many they are."""
+        words = [u.decode() for u in units]
+        ids: list = [None] * len(words)
+        for some, encode in ((np.flatnonzero(letters).tolist(), self._letters), (np.flatnonzero(~letters).tolist(), self._whole)):
+            for i, x in zip(some, encode([words[i].lower() for i in some] if encode == self._letters else [words[i] for i in some])):
+                ids[i] = x
+        count = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
+        new = np.frombuffer(b"".join(ids), self.dtype)
+        end = self.used + len(new)
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.empty(max(end, self.used), self.dtype)])
+        self.pool[self.used : end] = new
+        first = self.used + np.cumsum(count) - count
+        self.used = end
+        return first, count
+
+    def _put(self, keys: np.ndarray, h: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
+        at = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        free = self.keys[at, 0] == 0  # no unit begins with a byte 0
+        for some, to in ((np.flatnonzero(free), at), (np.flatnonzero(~free), (h >> np.uint64(40) & np.uint64(self.slots - 1)).astype(np.int64))):
+            some = some[np.unique(to[some], return_index=True)[1]]  # one unit to a slot
+            self.keys[to[some]], self.first[to[some]], self.count[to[some]] = keys[some], first[some], count[some]
+
+    def _segment(self, texts: list[str]) -> list[np.ndarray]:
+        raw = "\n".join(texts).encode().lower()
+        if b"\0" in raw:
+            return [np.frombuffer(x, self.dtype) for x in self._whole(texts)]
+        if self.used > IDS:
+            self._forget()
+        b = np.frombuffer(raw + bytes(KEPT + 8), np.uint8)
+        kind = _CLASS[b[: len(raw)]]
+        kind[[m.start() for m in _SIGNS.finditer(raw)]] = _OTHER
+        edge = np.diff(np.concatenate([[False], kind != _SPACE, [False]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if not len(starts):
+            return [np.empty(0, self.dtype)] * len(texts)
+        bad = kind == _OTHER
+        bad[1:] |= (kind[1:] == _LETTER) & (kind[:-1] == _MARK)
+        bad = np.concatenate([[0], np.cumsum(bad, dtype=np.int32)])
+        odd = (bad[ends] != bad[starts]) | (kind[starts] != _LETTER)
+        cut = np.flatnonzero((kind[1:] == _MARK) & (kind[:-1] == _LETTER)) + 1
+        cut = cut[~odd[np.searchsorted(starts, cut, "right") - 1]]
+        begin, end = (np.sort(np.concatenate([x, cut]), kind="stable") for x in (starts, ends))
+        size = end - begin
+        v = b.astype(np.uint64)
+        for k in (1, 2, 4):
+            v[:-k] |= v[k:] << np.uint64(8 * k)
+        keys = np.empty((len(begin), KEPT // 8), np.uint64)
+        h = np.zeros(len(begin), np.uint64)
+        for j, factor in enumerate(_FACTORS):
+            keys[:, j] = v[begin + 8 * j] & _MASK[np.clip(size - 8 * j, 0, 8)]
+            h = (h ^ keys[:, j]) * factor
+            h ^= h >> np.uint64(31)
+        first, count = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        left = np.arange(len(begin))
+        short = size <= KEPT
+        if not short.all():
+            self._of_long(raw, np.flatnonzero(~short), begin, end, starts, odd, kind, first, count)
+            left = left[short]
+        for shift in (0, 40):
+            at = (h[left] >> np.uint64(shift) & np.uint64(self.slots - 1)).astype(np.int64)
+            held = self.keys[at]
+            hit = held[:, 0] == keys[left, 0]
+            for j in range(1, keys.shape[1]):
+                hit &= held[:, j] == keys[left, j]
+            first[left[hit]], count[left[hit]] = self.first[at[hit]], self.count[at[hit]]
+            left = left[~hit]
+        if len(left):
+            _, one, of = np.unique(h[left], return_index=True, return_inverse=True)
+            one = left[one]
+            if not np.array_equal(keys[one][of], keys[left]):  # two units of one hash
+                return [np.frombuffer(x, self.dtype) for x in self._whole(texts)]
+            letters = ~odd[np.searchsorted(starts, begin[one], "right") - 1] & (kind[begin[one]] == _LETTER)
+            a, n = self._pooled([raw[i:j] for i, j in zip(begin[one].tolist(), end[one].tolist())], letters)
+            self._put(keys[one], h[one], a, n)
+            first[left], count[left] = a[of], n[of]
+        total = np.cumsum(count)
+        ids = self.pool[np.repeat(first - (total - count), count) + np.arange(total[-1])]
+        bounds = np.cumsum([len(t.encode()) + 1 for t in texts[:-1]]) if len(texts) > 1 else []
+        upto = np.concatenate([[0], total])[np.searchsorted(begin, bounds)]
+        return np.split(ids, upto)
+
+    def _of_long(self, raw, some, begin, end, starts, odd, kind, first, count) -> None:
+        letters = ~odd[np.searchsorted(starts, begin[some], "right") - 1] & (kind[begin[some]] == _LETTER)
+        units = [raw[i:j] for i, j in zip(begin[some].tolist(), end[some].tolist())]
+        if len(self.long) > LONG:
+            self.long.clear()
+        new = {u: x for u, x in zip(units, letters.tolist()) if u not in self.long}
+        told = dict(zip(new, zip(*(x.tolist() for x in self._pooled(list(new), np.array([*new.values()], bool)))))) if new else {}
+        for i, u in zip(some.tolist(), units):
+            first[i], count[i] = told[u] if u in told else self.long[u]
+        self.long.update((u, x) for u, x in told.items() if len(u) <= 8 * KEPT)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.words:
-            self.known.clear()
-        get, found, gaps = self.known.get, [], []
-        for t in texts:
-            if _ODD.search(t):
-                found.append(self._whole([t]))
-                continue
-            split = t.split()
-            ids = list(map(get, split))
-            found.append(ids)
-            if None in ids:
-                gaps.append((ids, [(i, split[i]) for i, v in enumerate(ids) if v is None]))
-        self._learn(list({w for _, own in gaps for _, w in own}))
-        for ids, own in gaps:
-            for i, w in own:
-                ids[i] = get(w)
-        return [np.frombuffer(b"".join(ids), self.dtype) for ids in found]
+        out, group, size = [], [], 0
+        for text in texts:
+            if group and size + len(text) > SEGMENT:
+                out += self._segment(group)
+                group, size = [], 0
+            if len(text) > 2 * SEGMENT:
+                out.append(np.concatenate([self._segment([p])[0] for p in parts_of(text)]))
+            else:
+                group.append(text)
+                size += len(text)
+        return out + (self._segment(group) if group else [])
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
