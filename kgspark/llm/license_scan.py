@@ -2,7 +2,9 @@
 
 A text is reduced to its words, one space between them. By the pigeonhole principle a notice found with at most k edits holds
 one of its k + 1 parts unchanged; one Aho-Corasick pass finds these parts, and the regex library's bounded-error matching
-checks the windows around them and gives spans and edits. The base phrases are notices with k = 0, whose one part is the whole.
+checks the windows around them and gives spans and edits. A match is of whole words, and the short words that tell notices apart
+(names, terms, numbers) stand in it unedited; where notices of different labels overlap, the one with more edits goes. The base
+phrases are notices with k = 0, whose one part is the whole.
 """
 
 from __future__ import annotations
@@ -42,6 +44,10 @@ NOTICES = {
     "all rights reserved": "reserved",
 }
 
+# Short words that don't tell notices apart; other words of under LEAST characters do.
+COMMON = {"a", "all", "and", "any", "copy", "free", "in", "into", "is", "of", "or", "the", "this", "to", "use"}
+LEAST = 5
+
 MATCH = pa.struct([("label", pa.string()), ("notice", pa.string()), ("base", pa.bool_()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
 _MATCH = "struct<label: string, notice: string, base: boolean, first_word: long, last_word: long, start: long, end: long, edits: int>"
 _TO_WORDS = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -59,14 +65,41 @@ def seeds(notice: str, k: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(at, at[1:])]
 
 
-def matches(pattern: regex.Pattern, least: int, line: str, a: int, b: int) -> Iterator[regex.Match]:
-    """The best match in line from a to b, and those in what is left on both sides of it."""
+def telling(notice: str) -> list[str]:
+    """The words of a notice that no edit may touch."""
+    return [w for w in notice.split() if len(w) < LEAST and w not in COMMON]
+
+
+def matches(pattern: regex.Pattern, told: list[str], least: int, line: str, a: int, b: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, edits) of the best match in line from a to b, widened to whole words, and of those in what is left beside it."""
     left = [(a, b)]
     while left:
         a, b = left.pop()
         if b - a >= least and (m := pattern.search(line, a, b)):
-            yield m
-            left += [(a, m.start()), (m.end(), b)]
+            start, end = m.span()
+            while line[start] == " ":
+                start += 1
+            while line[end - 1] == " ":
+                end -= 1
+            start, end = line.rindex(" ", 0, start + 1) + 1, line.index(" ", end)
+            words = iter(line[start:end].split())
+            if all(w in words for w in told) and (whole := pattern.fullmatch(line, start, end)):
+                yield start, end, sum(whole.fuzzy_counts)
+                left += [(a, m.start()), (m.end(), b)]
+            else:
+                left += [(a, m.start()), (m.start() + 1, b)]
+
+
+def beaten(spans: list[tuple[int, int, int, str]]) -> set[int]:
+    """Which of the spans (start, end, edits, label) overlap one of another label with fewer edits."""
+    out, order = set(), sorted(range(len(spans)), key=lambda i: spans[i][:2])
+    for n, i in enumerate(order):
+        for j in order[n + 1 :]:
+            if spans[j][0] >= spans[i][1]:
+                break
+            if spans[i][3] != spans[j][3] and spans[i][2] != spans[j][2]:
+                out.add(i if spans[i][2] > spans[j][2] else j)
+    return out
 
 
 class Scanner:
@@ -77,7 +110,7 @@ class Scanner:
             parts.setdefault(f" {phrase} ", []).append((phrase, 0, True))
         for notice in notices:
             k = edits_allowed(notice)
-            self.patterns[notice] = k, regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}")
+            self.patterns[notice] = k, telling(notice), regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}")
             for offset, part in seeds(notice, k):
                 parts.setdefault(part, []).append((notice, offset, False))
         self.magic = ahocorasick.Automaton()
@@ -103,10 +136,14 @@ class Scanner:
                         own[-1] = min(a, own[-1][0]), max(b, own[-1][1])
                     else:
                         own.append((a, b))
+        fuzzy = set()
         for notice, own in windows.items():
-            k, pattern = self.patterns[notice]
+            k, told, pattern = self.patterns[notice]
             for a, b in own:
-                spans += [(m.start(), m.end(), notice, False, sum(m.fuzzy_counts)) for m in matches(pattern, len(notice) - k, line, a, b)]
+                fuzzy.update((start, end, notice, False, edits) for start, end, edits in matches(pattern, told, len(notice) - k, line, a, b))
+        fuzzy = sorted(fuzzy)
+        gone = beaten([(start, end, edits, self.notices[notice]) for start, end, notice, _, edits in fuzzy])
+        spans += [x for i, x in enumerate(fuzzy) if i not in gone]
         if not spans:
             return len(words), []
         return len(words), self._rows(text, line, sorted(set(spans)))
@@ -115,11 +152,10 @@ class Scanner:
         at = n = 0
         rows, places = [], [(m.start(), m.end()) for m in _WORD.finditer(text)]
         for a, b, notice, base, edits in spans:
-            a += len(line[a:b]) - len(line[a:b].lstrip(" "))
-            n += line.count(" ", at, a + 1)
-            at = a + 1
+            n += line.count(" ", at, a)
+            at = a
             first = n - 1
-            last = first + line[a:b].strip(" ").count(" ")
+            last = first + line.count(" ", a, b)
             label = (self.base if base else self.notices)[notice]
             rows.append(dict(zip((f.name for f in MATCH), (label, notice, base, first, last, places[first][0], places[last][1], edits))))
         return rows
@@ -130,7 +166,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Whole texts are read; a null or empty text has no words and no matches. A null doc_id stays null, rows that repeat a
     doc_id stay, an empty table gives an empty result and other columns of docs are not read. Where matches of a notice
-    overlap, the one with the fewest edits is given; base phrases are given at each place.
+    overlap, or of notices with different labels, the one with the fewest edits is given; base phrases are given at each place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

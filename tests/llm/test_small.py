@@ -120,11 +120,24 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
-def test_word_tokenizer_is_the_library():
+def test_rows_that_repeat_are_dealt_out(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 2000, 5)] * 400, packing.PIECES).repartition(4)
+    got = packing.pack(rows, 2048, 50).collect()
+    sizes = Counter(r["sequence_id"] >> 32 for r in got)
+    assert len(got) == 400 and len({r["sequence_id"] for r in got}) == 400 and len(sizes) == 8 and max(sizes.values()) < 100
+
+
+def test_word_tokenizer_is_the_library(monkeypatch):
     r, pool = random.Random(1), ["a", "The", "naïve", "É", "ß", "日本", "İ", "Σ", "'s", "don't", "1", "42", "!", "..", "-", "_", "<|endoftext|>", "é", "ﬁ", "　", "\xa0", "\x1c", " ", " ", "\n", "(z)", "%%%", "’s"]
-    w = tokens.WordTokenizer(tokens.vocabulary("word_bpe_49k.json"), words=50)
+    pool += ["\0", "×", "ª", "µ", "ŉ", "Ǆ", "ẞ", "k" * 33, "É" * 40 + "...", "z" * 300]
+    w = tokens.WordTokenizer(tokens.vocabulary("word_bpe_49k.json"), slots=64)
     texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 30))) for _ in range(600)]
     assert [x.tolist() for x in w.encode(texts)] == [ids_of(t) for t in texts]
+    monkeypatch.setattr(tokens, "SEGMENT", 100)
+    monkeypatch.setattr(tokens, "IDS", 500)
+    w = tokens.WordTokenizer(tokens.vocabulary("word_bpe_49k.json"), slots=64)
+    more = [*texts, "\n".join(texts), " ", "", "\n \n"]
+    assert [x.tolist() for i in range(0, len(more), 50) for x in w.encode(more[i : i + 50])] == [ids_of(t) for t in more]
 
 
 @pytest.fixture(scope="module")
@@ -182,13 +195,69 @@ def test_fuzzy_finds_planted_edits(seed):
     r = random.Random(seed)
     notice = r.choice([n for n in license_scan.NOTICES if len(n) > 20])
     edited = list(notice)
-    for _ in range(license_scan.edits_allowed(notice)):
-        k = r.randrange(1, len(edited) - 1)
-        edited[k] = r.choice("qzjx") if edited[k] != " " else " "
+    told = license_scan.telling(notice)
+    free = [k for k in range(1, len(notice) - 1) if notice[k] != " " and notice[: k + 1].split()[-1] + notice[k + 1 :].split(" ")[0] not in told]
+    for k in r.sample(free, license_scan.edits_allowed(notice)):
+        edited[k] = r.choice("qzjx")
     _, found = license_scan.Scanner()("intro words " + "".join(edited) + " and more")
     assert license_scan.NOTICES[notice] in {m["label"] for m in found}
 
 
+def labels_of(text):
+    return {m["label"] for m in license_scan.Scanner()(text)[1]}
+
+
+def test_words_that_tell_notices_apart():
+    assert labels_of("Released under the BSD license") == labels_of("released under the ISC license") == set()
+    assert labels_of("Licensed under CC BY-SA 4.0") == {"cc-by", "cc-by-sa"} and labels_of("Licensed under CC BY-ND 4.0") == {"cc-by"}
+    assert labels_of("Licensed under the Apache License, Version 1.1") == set() and labels_of("lisenced under the Apache License, Version 2.0") == {"apache-2.0"}
+    assert labels_of("unreleased under the mit license") == {"mit"} and labels_of("presubreleased under the mit license") == set()
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_license_query_is_brute_force(spark, tmp_path):
+    r = random.Random(4)
+    notices = {k: v for k, v in license_scan.NOTICES.items() if len(k) < 40}
+    texts = [None, "", "!!"]
+    for _ in range(60):
+        t = []
+        for _ in range(r.randint(0, 3)):
+            x = list(r.choice([*notices, *license_scan.BASE, "released under the bsd license"]).upper())
+            for _ in range(r.randint(0, 2)):
+                x[r.randrange(len(x))] = r.choice(["q", "", " ", "ss"])
+            t += ["".join(x), passage(r, r.randint(0, 3))]
+        texts.append(", ".join(t))
+    rows = []
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        base = sorted((k, label) for p, label in license_scan.BASE.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split())
+        spans = []
+        for notice, label in license_scan.NOTICES.items():
+            k, told = license_scan.edits_allowed(notice), license_scan.telling(notice)
+            for a in range(len(words)):
+                for b in range(a + 1, len(words) + 1):
+                    own = " ".join(words[a:b])
+                    rest = iter(words[a:b])
+                    if abs(len(own) - len(notice)) <= k and all(w in rest for w in told) and (d := distance(own, notice)) <= k:
+                        spans.append((a, b, d, label, 1 - d / len(notice)))
+        stay = [x for x in spans if not any(x[0] < y[1] and y[0] < x[1] and y[3] != x[3] and y[2] < x[2] for y in spans)]
+        labels = {x[3] for x in stay} | {label for _, label in base}
+        firsts = [k for k, _ in base]
+        score = 1.0 if base else max((x[4] for x in stay), default=0.0)
+        rows.append((i, len(words), len(base), min(firsts, default=None), max(firsts, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), round(score, 9)))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(*x[:7], round(x[7], 9)) for x in license_scan.op5_license_scan(spark, str(tmp_path)).collect()]
+    assert sorted(got) == rows and sum(bool(x[6]) for x in rows) > 20
+
+
 def test_token_store(docs, rows, empty):
     got = content_store.store_and_read(docs, tokens.vocabulary("word_bpe_49k.json")).orderBy("start").collect()
     assert [r["doc_id"] for r in got] == sorted([i for i, _ in rows], key=lambda i: -1 if i is None else i)
