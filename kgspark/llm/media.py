@@ -6,6 +6,7 @@ its structure (chunks, segments, headers) and gives the length, or rejects it.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import struct
@@ -287,30 +288,46 @@ def _mp4(b, at):
     return p - at if kinds[:1] == [b"ftyp"] and (b"moov" in kinds or b"moof" in kinds) else None
 
 
-def _pdf(b, at):
+def _places(b, mark: bytes, memo: dict) -> list[int]:
+    """Where mark stands in b; looked up once for a buffer, whose memo it is kept in."""
+    if mark not in memo:
+        memo[mark] = [m.start() for m in re.finditer(re.escape(mark), b)]
+    return memo[mark]
+
+
+def _pdf(b, at, memo):
     """Ends at the last end mark whose startxref leads to a cross-reference table of this file (one within it has its own), or
     if there is none, at the last before the next file."""
-    end = b.find(b"%%EOF", at)
-    if end < 0 or b.find(b"startxref", at, end) < 0:
+    ends, said, heads = (_places(b, x, memo) for x in (b"%%EOF", b"startxref", b"%PDF-"))
+    k, j = bisect.bisect_left(ends, at), bisect.bisect_left(said, at)
+    if k == len(ends) or j == len(said) or said[j] >= ends[k]:
         return None
-    for m in reversed(list(_XREF.finditer(b, at))):
-        if _TABLE.match(b, at + int(m[1])):
-            return m.end() - at
-    following = b.find(b"%PDF-", end)
-    end = b.rfind(b"%%EOF", at, following if following > 0 else len(b)) + 5
-    return end - at
-
-
-def _zip(b, at):
+    if "trailers" not in memo:
+        found = [(m.start(), m.end(), int(m[1])) for m in _XREF.finditer(b)]
+        memo["trailers"] = np.array(found, np.int64).reshape(-1, 3)
+        memo["bytes"] = np.append(np.frombuffer(b, np.uint8), np.uint8(0))
+    own = memo["trailers"][np.searchsorted(memo["trailers"][:, 0], at) :]
+    first = memo["bytes"][np.minimum(at + own[:, 2], len(b))]  # a table begins with a figure or the x of xref
+    for i in np.flatnonzero((first == ord("x")) | (first >= ord("0")) & (first <= ord("9")))[::-1].tolist():
+        if _TABLE.match(b, at + int(own[i, 2])):
+            return int(own[i, 1]) - at
+    following = bisect.bisect_left(heads, ends[k])
+    last = bisect.bisect_left(ends, heads[following]) if following < len(heads) else len(ends)
+    return ends[last - 1] + 5 - at
+
+
+def _zip(b, at, memo):
     """Ends with the end-of-directory record that fits the start; those of files stored within don't."""
-    end = b.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(b) - 22:
-        n, size, start = struct.unpack_from("<HII", b, end + 10)
-        whole = end + 22 + int.from_bytes(b[end + 20 : end + 22], "little")
-        if at + start + size == end and whole <= len(b) and (not n or b[at + start : at + start + 4] == b"PK\x01\x02"):
-            return whole - at
-        end = b.find(b"PK\x05\x06", end + 1)
-    return None
+    if "zips" not in memo:
+        memo["zips"] = {}
+        for end in _places(b, b"PK\x05\x06", memo):
+            if end <= len(b) - 22:
+                n, size, start = struct.unpack_from("<HII", b, end + 10)
+                whole = end + 22 + int.from_bytes(b[end + 20 : end + 22], "little")
+                if whole <= len(b) and (not n or size <= end and b[end - size : end - size + 4] == b"PK\x01\x02"):
+                    memo["zips"].setdefault(end - size - start, whole)
+    whole = memo["zips"].get(at)
+    return whole - at if whole else None
 
 
 def _gzip(b, at):
@@ -332,8 +349,10 @@ def _gzip(b, at):
 VALIDATORS = {
     "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp": _bmp,
     "image/webp": _riff([{b"VP8 "}, {b"VP8L"}, {b"VP8X"}]), "audio/wav": _riff([{b"fmt ", b"data"}]),
-    "audio/flac": _flac, "audio/ogg": _ogg, "video/mp4": _mp4, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip,
+    "audio/flac": _flac, "audio/ogg": _ogg, "video/mp4": _mp4, "application/gzip": _gzip,
 }
+#: Validators that look for marks of the whole buffer, which are listed once.
+LISTED = {"application/pdf": _pdf, "application/zip": _zip}
 
 
 class Sniffer:
@@ -348,18 +367,22 @@ class Sniffer:
     def __call__(self, data: bytes) -> list[tuple[str, int, int, int | None]]:
         """(type, start, length, within) of each medium that is valid, by start; those within another are found too, whole in
         its bytes, and ``within`` is the start of the innermost that holds it (None: none)."""
-        found, around = [], [(None, None, len(data), data)]
+        found, around = [], [(None, None, len(data), data, 0, {})]  # with the bytes of the medium, where they begin, what is listed of them
         for at, kind in sorted({(end - back, kind) for end, (kind, back) in self.magic.iter(data.decode("latin-1"))}):
             if at < 0:
                 continue
             while len(around) > 1 and at >= around[-1][2]:
                 around.pop()
-            outer, start, end, own = around[-1]
-            if outer == kind == "audio/ogg" and at in _ogg_pages(own, start, end):
-                continue
-            if n := VALIDATORS[kind](own, at):
+            outer, start, end, own, base, memo = around[-1]
+            if outer == kind == "audio/ogg":
+                if "pages" not in memo:
+                    memo["pages"] = set(_ogg_pages(own, 0, len(own)))
+                if at - base in memo["pages"]:
+                    continue
+            n = LISTED[kind](own, at - base, memo) if kind in LISTED else VALIDATORS[kind](own, at - base)
+            if n:
                 found.append((kind, at, n, start))
-                around.append((kind, at, at + n, data[: at + n]))
+                around.append((kind, at, at + n, data[at : at + n], at, {}))
         return found
 
 
