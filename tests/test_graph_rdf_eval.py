@@ -34,6 +34,21 @@ def test_dangling_mass_goes_to_the_seeds(spark):
     assert abs(sum(r.values()) - 1) < 1e-9 and r["x"] < 1e-3
 
 
+def test_vertices_are_the_ends_of_all_edges(spark):
+    r = ranks(spark.createDataFrame([("a", "b", 1.0)], "src string, dst string, w double"), spark, "a")
+    assert abs(r["a"] - 1 / 1.85) < 1e-3 and abs(r["b"] - 0.85 / 1.85) < 1e-3
+
+
+def test_queries_go_together_alike(spark):
+    adj = store.adjacency(edges(spark, *[(f"n{i}", "p", f"n{i * 7 % 23}") for i in range(1, 23)]))
+    asked = spark.createDataFrame([(q, f"n{q + j}") for q in range(19) for j in (0, 0, 3)] + [(99, "none")], "query_id long, id string")
+    one, two = ({(r["query_id"], r["id"]): r["r"] for r in graph.personalized_pagerank(adj, asked, rounds=12, small=n).collect()} for n in (graph.SMALL, 0))
+    assert one.keys() == two.keys() and len({q for q, _ in one}) == 20 and all(abs(one[k] - two[k]) < 1e-8 for k in one)
+    loose = adj.unionByName(spark.createDataFrame([("n1", "x", 1.0), ("x", "y", 0.0)], "src string, dst string, w double"))
+    one, two = ({r["id"]: r["r"] for r in graph.personalized_pagerank(loose, asked.where("query_id = 1"), rounds=4, small=n).collect()} for n in (graph.SMALL, 0))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-8 for k in one) and abs(sum(one.values()) - 1) < 1e-9
+
+
 def test_specificity(spark):
     s = {r["id"]: r["specificity"] for r in graph.node_specificity(store.adjacency(edges(spark, ("a", "p", "b"), ("b", "p", "c")))).collect()}
     assert abs(s["b"] - 1 / (1 + math.log(3))) < 1e-12 and s["a"] > s["b"]
