@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..vocab import NAMESPACE, PREFIX_TYPES, STOPWORDS
 
+# Ends of lines; a link with its heading and alias.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 WIKILINK = r"\[\[([^\]|#]+)(?:#[^\]|]+)?(?:\|[^\]]+)?\]\]"
+#: Stands for U+FFFD while bytes are checked: private characters that no text has side by side.
+_KEPT = "\U0010fffd\ue0f1\U0010fffd"
 _ENDS = r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$"
 
 
@@ -24,8 +27,10 @@ def lines(x: Column) -> Column:
 
 
 def decode(content: Column) -> Column:
-    """UTF-8 text of bytes: bytes that aren't valid are left out, and ends of lines are line feeds. U+FFFD itself goes too."""
-    return F.regexp_replace(F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit("")), "\r\n?", "\n")
+    """UTF-8 text of bytes: bytes that aren't valid are left out, and ends of lines are line feeds."""
+    own = F.replace(content.cast("string"), F.lit("\ufffd"), F.lit(_KEPT))  # U+FFFD of the text itself
+    valid = F.replace(F.make_valid_utf8(own), F.lit("\ufffd"), F.lit(""))
+    return F.regexp_replace(F.replace(valid, F.lit(_KEPT), F.lit("\ufffd")), "\r\n?", "\n")
 
 
 def wikilinks(x: Column) -> Column:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename_key, delink, first_cue, lines, node_type, strip, wikilinks
+from ..session import numbered
 from ..vocab import HEADING_CUES, LINE_CUES, PREDICATES
 
+# Fixed value: the pattern of the fences of frontmatter.
 FENCE = r"(?s)^---\n(.*?)\n---\n"
 #: Where links of the frontmatter go: key, predicate, type of a target that isn't a note, and whether its link is taken off.
 FIELDS = [("tags", "about", "Concept", False), ("project", "is_part_of", "Project", True), ("people", "mentions", "Person", True), ("author", "authored_by", "Person", True), ("authors", "authored_by", "Person", True)]
@@ -110,10 +112,8 @@ def extract(notes: DataFrame, resolve_links: bool = True, llm: Callable | None =
 
 
 def _numbered(df: DataFrame, tie: str) -> DataFrame:
-    """place as one number that keeps its order: note, kind of field, line, item; up to 2^28 notes and 2^20 lines in one."""
-    p = F.col("place")
-    seq = F.shiftleft(p["walk_ord"].cast("long"), 35) + F.shiftleft((p["k"] + 1).cast("long"), 31) + F.shiftleft(p["pos"].cast("long"), 11) + F.least(p["n"], F.lit(2047)).cast("long")
-    return df.withColumn("seq", seq).drop("place")
+    """place (note, kind of field, line, item) as one number that keeps its order."""
+    return numbered(df, ["place", tie], "seq").drop("place")
 
 
 def _llm_edges(notes: DataFrame, llm: Callable) -> DataFrame:

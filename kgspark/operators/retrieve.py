@@ -70,12 +70,12 @@ def graph_ranking(queries_seeds: DataFrame, adj: DataFrame, nodes: DataFrame, k:
     return top.unionByName(asked.join(top, ["query_id", "id"], "left_anti"))
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, nodes: DataFrame, adj: DataFrame, k: int = 5, depth: int = LEXICAL_DEPTH, linked: DataFrame | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, docs: DataFrame, nodes: DataFrame, adj: DataFrame, k: int = 5, depth: int = LEXICAL_DEPTH, linked: DataFrame | None = None, kept: tuple | None = None) -> DataFrame:
     """query_id, rank, id, text, score: graph and lexical rankings fused; a query that links to no node has the lexical one alone.
 
-    docs: id, text, ord; both rankings go ``depth`` deep whatever k is, the graph one over all notes.
+    docs: id, text, ord; both rankings go ``depth`` deep whatever k is, the graph one over all notes. kept: docs' index, if there is one.
     """
-    words = cut(lexical.top_k(docs, queries, depth))
+    words = cut(lexical.top_k(docs, queries, depth, kept=kept))
     linked = cut(link_entities(queries, nodes)) if linked is None else linked
     seeded = linked.select("query_id").distinct()
     # beside the lexical ids only the k best of the others can be among the fused

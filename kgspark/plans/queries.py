@@ -12,7 +12,6 @@ from ..vocab import NAMESPACE, RDF, SCHEMA, SUPERCLASS, XSD
 
 N, E, C, M = star.NODES, star.EDGES, star.CORE, star.NOTES
 WITH = f"with nodes as ({N}), edges as ({E})"
-WITH_CORE = f"with nodes as ({N}), edges as ({C})"
 ADJ = "adj as (select src, dst, sum(w) as w from (select src, dst, confidence as w from edges union all select dst, src, confidence from edges) x group by src, dst)"
 CLEAN = "translate(regexp_replace(regexp_replace(lower({0}), '\\.[^.]*$', ''), '^(project_|reference_|feedback_|user_)', ''), '_-', '  ')"
 STOP = "('" + "','".join(tx.STOPWORDS) + "')"
@@ -89,6 +88,22 @@ def wikilink_edges(spark, d):
     return extract.body_links(star.notes(spark, d)).select("path", "target", "predicate")
 
 
+_CUES = "select '/n/' || o_orderkey || '.md' as path, cast(o_orderkey as bigint) as walk_ord, case o_orderkey % 6 when 0 then 'Superseded by' when 1 then 'blocked on' when 2 then 'depends upon' when 3 then 'a part of' when 4 then 'decided in' else 'see' end || ' [[c' || o_custkey || '#x|y]]' as text from orders"
+
+
+@query("select '/n/' || o_orderkey || '.md' as path, 'c' || o_custkey as target, case o_orderkey % 6 when 0 then 'supersedes' when 1 then 'blocks' when 2 then 'depends_on' when 3 then 'is_part_of' when 4 then 'decides' else 'mentions' end as predicate from orders")
+def inline_cue_edges(spark, d):
+    star.views(spark, d)
+    return extract.body_links(spark.sql(_CUES)).select("path", "target", "predicate")
+
+
+@query("""with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') as w from documents),
+c as (select doc_id, w, unnest(range(0, greatest(cast(ceil(len(w) / 120) as bigint), 1))) as n from w) select 'd' || doc_id || '#' || n as id, coalesce(array_to_string(w[n * 120 + 1 : n * 120 + 120], ' '), '') as text from c""")
+def note_chunks(spark, d):
+    star.views(spark, d)
+    return lexical.chunks(spark.sql("select 'd' || doc_id as path, doc_id as walk_ord, text from documents")).select("id", "text")
+
+
 @query(f"with n as ({M}) select path, 'Doc ' || walk_ord as heading, 1 as linked from n union all select path, 'Decisions', 1 from n")
 def heading_context(spark, d):
     rows = extract.body_lines(star.notes(spark, d)).where(F.size(tx.wikilinks(F.col("line"))) > 0)
@@ -110,7 +125,7 @@ def extracted_nodes(spark, d):
     return store.upsert_nodes(nodes).select("id", "type")
 
 
-@query()
+@query(f"with n as ({M}) select sha256(string_agg(path || ':' || mtime || ':' || size || ';', '' order by path)) as fingerprint from n")
 def corpus_fingerprint(spark, d):
     return markdown.corpus_fingerprint(star.notes(spark, d))
 
@@ -123,15 +138,15 @@ def node_specificity(spark, d):
     return graph.node_specificity(store.adjacency(star.edges(spark, d))).select("id", F.round("specificity", 9).alias("specificity"))
 
 
-def _ppr(tele: str, edges: str = C) -> str:
-    return f"""with recursive edges as ({edges}), {ADJ}, o as (select src, sum(w) as t from adj group by src),
+def _ppr(tele: str, r: str = "round(r, 9)") -> str:
+    return f"""with recursive edges as ({E}), {ADJ}, o as (select src, sum(w) as t from adj group by src),
 e as (select adj.src, dst, w / t as share from adj join o on o.src = adj.src), v as (select src as id, count(*) over () as n from o),
 tele as ({tele}), r as (
   select q.query_id, v.id, 0 as it, 1.0::double / n as r from (select distinct query_id from tele) q, v
   union all
   select r.query_id, e.dst, it + 1, sum(0.85::double * r.r * e.share) + 0.15::double * coalesce(max(tele.t), 0) from r join e on e.src = r.id
   left join tele on tele.query_id = r.query_id and tele.id = e.dst where it < 50 group by r.query_id, e.dst, it)
-select query_id, id, round(r, 9) as r from r where it = 50"""
+select query_id, id, {r} as r from r where it = 50"""
 
 
 _NATIONS = "select 'q' || n_nationkey as query_id, 'nation/' || n_nationkey as id, 1.0::double as t from nation"
@@ -150,21 +165,11 @@ def _ppr_no_seed(spark, edges):
 
 @query(_ppr(_NATIONS))
 def ppr_50(spark, d):
-    return _ppr_nations(spark, star.core_edges(spark, d))
-
-
-@query(_ppr(_NATIONS, E))
-def ppr_50_whole(spark, d):
     return _ppr_nations(spark, star.edges(spark, d))
 
 
 @query(_ppr(_UNIFORM))
 def ppr_no_seed_uniform(spark, d):
-    return _ppr_no_seed(spark, star.core_edges(spark, d))
-
-
-@query(_ppr(_UNIFORM, E))
-def ppr_no_seed_uniform_whole(spark, d):
     return _ppr_no_seed(spark, star.edges(spark, d))
 
 
@@ -241,11 +246,24 @@ def ordered_distinct(spark, d):
     return retrieve.ordered_distinct(spark.sql(_PARTS), 3).select("query_id", "pos", "rank")
 
 
-@query()
+_LINKED = f"""select query_id, id, 1.0::double / count(*) over (partition by query_id) as t from (
+select * from (select query_id, id, row_number() over (partition by query_id order by count(*) desc, id desc) as n from (select distinct query_id, unnest({TOKENS.format("text")}) as t from ({{0}}) q) a
+join (select distinct id, unnest({TOKENS.format(CLEAN.format("name"))}) as t from ({N}) nn) l using (t) group by query_id, id) x where n <= 8) y"""
+_QUESTIONS = "select * from (values ('q1', 'FRANCE and EUROPE'), ('q2', 'polished brass part'), ('q3', 'zzzz qqqq')) v(query_id, text)"
+
+
+@query(f"""with ranks as ({_ppr(_LINKED.format(_QUESTIONS), "r")}), nodes as ({N}), edges as ({E}), {ADJ}, sp as (select src as id, 1 / (1 + ln(1 + count(distinct dst))) as sp from adj group by src),
+gs as (select query_id, id, r * coalesce(sp, 1) as score, seq from ranks join nodes using (id) left join sp using (id) where note_path is not null),
+g as (select query_id, id, row_number() over (partition by query_id order by score desc, seq) as gr from gs where score > 0),
+docs as (select 'part/' || p_partkey as id, p_name || ' ' || p_brand || ' ' || p_type as text, p_partkey as ord from part), asked as ({_QUESTIONS}), {_TFIDF},
+x as (select query_id, id, rank as lr, score from ranked where rank <= 10), seeded as (select distinct query_id from ranks),
+fused as (select coalesce(g.query_id, x.query_id) as query_id, coalesce(g.id, x.id) as id, coalesce(1.0::double / (59 + gr), 0) + coalesce(1.0::double / (59 + lr), 0) as score from g full join (select * from x where query_id in (select query_id from seeded)) x on g.query_id = x.query_id and g.id = x.id),
+best as (select query_id, row_number() over (partition by query_id order by round(score, 12) desc, id) as rank, id, score from fused)
+select query_id, rank::int as rank, id, round(score, 6) as score from best where rank <= 10 union all select query_id, lr::int, id, round(score, 6) from x where query_id not in (select query_id from seeded)""")
 def hybrid_retrieve(spark, d):
     nodes, edges = star.nodes(spark, d), star.edges(spark, d)
     docs = spark.sql("select 'part/' || p_partkey as id, p_name || ' ' || p_brand || ' ' || p_type as text, p_partkey as ord from part")
-    asked = spark.createDataFrame([("q1", "FRANCE and EUROPE"), ("q2", "polished brass part"), ("q3", "zzzz qqqq")], "query_id string, text string")
+    asked = spark.sql(_QUESTIONS.replace("v(", "as v("))
     return retrieve.retrieve(asked, docs, nodes, store.adjacency(edges), 10).select("query_id", "rank", "id", "score")
 
 
@@ -306,26 +324,16 @@ union select {_S}, '{RDF}subject', s, 'iri', null from e union select {_S}, '{RD
 union select {_S}, '{NAMESPACE}confidence', confidence::varchar, 'literal', '{XSD}decimal' from e{more})"""
 
 
-_TRIPLES = _triples(f"select * from ({N}) x where type in ('Concept', 'Person', 'Source')", C)
-_WHOLE = _triples(N, E, f" union select {_S}, '{NAMESPACE}provenance', note_path, 'literal', null from e where note_path <> ''")
-
-
-def _core(spark, d):
-    return star.nodes(spark, d).where("type in ('Concept', 'Person', 'Source')"), star.core_edges(spark, d)
+_TRIPLES = _triples(N, E, f" union select {_S}, '{NAMESPACE}provenance', note_path, 'literal', null from e where note_path <> ''")
 
 
-def _whole(spark, d):
-    return star.nodes(spark, d), star.edges(spark, d)
+def _exported(spark, d):
+    return rdf.export(star.nodes(spark, d), star.edges(spark, d))
 
 
 @query(f"with {_TRIPLES} select * from triples")
 def rdf_triples(spark, d):
-    return rdf.export(*_core(spark, d))
-
-
-@query(f"with {_WHOLE} select * from triples")
-def rdf_triples_whole(spark, d):
-    return rdf.export(*_whole(spark, d))
+    return _exported(spark, d)
 
 
 _LINES = "select '<' || s || '> <' || p || '> ' || case when o_kind = 'iri' then '<' || o || '>' else '\"' || replace(o, '\"', '\\\"') || '\"' || coalesce('^^<' || o_datatype || '>', '') end || ' .' as line from triples"
@@ -333,12 +341,7 @@ _LINES = "select '<' || s || '> <' || p || '> ' || case when o_kind = 'iri' then
 
 @query(f"with {_TRIPLES} {_LINES}")
 def turtle_lines(spark, d):
-    return sinks.turtle_lines(rdf.export(*_core(spark, d)))
-
-
-@query(f"with {_WHOLE} {_LINES}")
-def turtle_lines_whole(spark, d):
-    return sinks.turtle_lines(rdf.export(*_whole(spark, d)))
+    return sinks.turtle_lines(_exported(spark, d))
 
 
 def _faulty(spark, d):
@@ -382,37 +385,22 @@ def nodes_of_type(spark, d):
 _BGP = f"select c.s as c, n.s as n, l.o as name from triples c join triples n on c.o = n.s join triples l on l.s = n.s where c.p = '{NAMESPACE}is_part_of' and n.p = '{NAMESPACE}broader' and n.o = '{NAMESPACE}n/region%2F1' and l.p = '{SCHEMA}name'"
 
 
-def _bgp(triples):
-    q = sparql.parse(f"SELECT ?c ?n ?name WHERE {{ ?c kl:is_part_of ?n . ?n kl:broader <{NAMESPACE}n/region%2F1> ; schema:name ?name }}")
-    return sparql.run(triples, q)
-
-
 @query(f"with {_TRIPLES} {_BGP}")
 def bgp_join(spark, d):
-    return _bgp(rdf.export(*_core(spark, d)))
-
-
-@query(f"with {_WHOLE} {_BGP}")
-def bgp_join_whole(spark, d):
-    return _bgp(rdf.export(*_whole(spark, d)))
-
-
-_ENTAILED = "select count(*) > 0 as answer from nation where n_nationkey = 3 and n_regionkey = 1"
+    q = sparql.parse(f"SELECT ?c ?n ?name WHERE {{ ?c kl:is_part_of ?n . ?n kl:broader <{NAMESPACE}n/region%2F1> ; schema:name ?name }}")
+    return sparql.run(_exported(spark, d), q)
 
 
-def _ask(triples):
-    q = sparql.parse(f"ASK {{ <{NAMESPACE}n/nation%2F3> kl:broader+ <{NAMESPACE}n/region%2F1> }}")
-    return sparql.run(triples, q)
+@query(f"with {_TRIPLES} {_BGP} and (l.o > 'B' and c.s like '%customer%')")
+def sparql_filter(spark, d):
+    q = sparql.parse(f"SELECT ?c ?n ?name WHERE {{ ?c kl:is_part_of ?n . ?n kl:broader <{NAMESPACE}n/region%2F1> ; schema:name ?name FILTER (?name > \"B\" && contains(str(?c), \"customer\")) }}")
+    return sparql.run(_exported(spark, d), q)
 
 
-@query(_ENTAILED)
+@query("select count(*) > 0 as answer from nation where n_nationkey = 3 and n_regionkey = 1")
 def ask_entailed(spark, d):
-    return _ask(rdf.export(*_core(spark, d)))
-
-
-@query(_ENTAILED)
-def ask_entailed_whole(spark, d):
-    return _ask(rdf.export(*_whole(spark, d)))
+    q = sparql.parse(f"ASK {{ <{NAMESPACE}n/nation%2F3> kl:broader+ <{NAMESPACE}n/region%2F1> }}")
+    return sparql.run(_exported(spark, d), q)
 
 
 # --- reasoning ---
@@ -420,15 +408,9 @@ def ask_entailed_whole(spark, d):
 _OVER = "case type " + " ".join(f"when '{k}' then '{v}'" for k, v in SUPERCLASS.items()) + " end"
 
 
-@query(f"{WITH_CORE} select id, type from nodes union select id, {_OVER} from nodes")
-def subclass_entail(spark, d):
-    types, _ = reason.entail(star.nodes(spark, d), star.core_edges(spark, d))
-    return types
-
-
 @query(f"{WITH} select id, type from nodes union select id, {_OVER} from nodes")
-def subclass_entail_whole(spark, d):
-    types, _ = reason.entail(*_whole(spark, d))
+def subclass_entail(spark, d):
+    types, _ = reason.entail(star.nodes(spark, d), star.edges(spark, d))
     return types
 
 
@@ -478,6 +460,16 @@ def simple_probes(spark, d):
     return evalkit.simple_probes(star.nodes(spark, d))
 
 
+_PROBED = "select o_orderkey as query_id, case when o_orderkey % 2 = 0 then 'multi_hop' else 'simple_lookup' end as family, o_orderkey % 200 as gold_id from orders"
+_HITS = "select l_orderkey as query_id, l_partkey as id, l_linenumber as rank from lineitem"
+
+
+@query(f"with p as ({_PROBED}), h as (select query_id, id, min(rank) as rank from ({_HITS}) x group by query_id, id) select p.query_id, family, gold_id, rank from p left join h on h.query_id = p.query_id and h.id = gold_id")
+def gold_ranks(spark, d):
+    star.views(spark, d)
+    return evalkit.gold_ranks(spark.sql(_PROBED), spark.sql(_HITS))
+
+
 _RANKS = "select o_orderkey as query_id, case when o_orderkey % 2 = 0 then 'multi_hop' else 'simple_lookup' end as family, case when o_orderkey % 13 {0} 0 then o_orderkey % {1} + 1 end as rank from orders"
 
 

@@ -1,8 +1,9 @@
-"""Checkpoints in the folder that the cluster shares."""
+"""Checkpoints in the folder that the cluster shares, and row numbers without a task that sees all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -10,5 +11,17 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or "file:///tmp/checkpoints")  # the latter on one machine only, as in tests
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, by: list, name: str) -> DataFrame:
+    """df with the place of each row from 0 in the order of the columns ``by``, from offsets of range partitions."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # in a partition from 0
+    ranged = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id()).withColumn("__place", place))
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"))
+    offsets = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # a row for each partition
+    return ranged.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__place")).drop("__part", "__place", "__before")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import decode
+from ..functions.text import basename, decode
+from ..session import numbered
 from ..vocab import SKIPPED_FOLDERS
 
+#: The end of a note's file name, as a pattern.
+NOTE = r"\.md"
+
 
 def read_notes(spark: SparkSession, roots: list[str]) -> DataFrame:
     """path, walk_ord, mtime, size, text of the ``.md`` files under the roots, or of a root that is a file.
@@ -31,24 +34,22 @@ def read_notes(spark: SparkSession, roots: list[str]) -> DataFrame:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    every = every.withColumn("walk_ord", F.row_number().over(Window.orderBy("root", "order")).cast("long") - 1)
-    return every.select("path", "walk_ord", "mtime", "size", "text")
+    # only paths are ordered; texts aren't moved for it
+    order = numbered(every.select("root", "order", "path"), ["root", "order"], "walk_ord").drop("order")
+    return every.join(order, ["root", "path"]).select("path", "walk_ord", "mtime", "size", "text")
 
 
 def corpus_fingerprint(notes: DataFrame) -> DataFrame:
-    """One row: the SHA-256 over the sorted ``path:mtime:size;`` of all notes, as ``fingerprint``. The digest of digests by
-    range keeps each row's part small; the paths themselves are never gathered."""
-    each = notes.select(F.substring(F.sha2("path", 256), 1, 3).alias("bucket"), F.sha2(F.concat_ws(":", "path", F.col("mtime").cast("long").cast("string"), F.col("size").cast("string")), 256).alias("d"))
-    # 4096 buckets; in each an order-free sum of digests, as exact decimals
-    part = F.conv(F.substring("d", 1, 15), 16, 10).cast("decimal(38,0)"), F.conv(F.substring("d", 16, 15), 16, 10).cast("decimal(38,0)")
-    sums = each.groupBy("bucket").agg(F.sum(part[0]).alias("a"), F.sum(part[1]).alias("b"), F.count("*").alias("n"))
-    line = F.concat_ws(":", "bucket", F.col("a").cast("string"), F.col("b").cast("string"), F.col("n").cast("string"))
-    return sums.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), ";"), 256).alias("fingerprint"))
-
+    """One row: the SHA-256 over ``path:mtime:size;`` of all notes in the order of their paths, as ``fingerprint``.
 
-def fingerprint_of_listing(listing: list[tuple[str, int, int]]) -> str:
-    """The SHA-256 of the sorted ``path:mtime:size;`` lines of a listing that fits the driver."""
-    return hashlib.sha256("".join(f"{p}:{int(m)}:{s};" for p, m, s in sorted(listing)).encode()).hexdigest()
+    The lines are sorted by Spark and run through the hash one partition after another, so the driver holds one partition's lines;
+    a hash of a sequence can't be made in parts. Texts are not read.
+    """
+    line = F.concat_ws(":", "path", F.col("mtime").cast("long").cast("string"), F.col("size").cast("string"))
+    whole = hashlib.sha256()
+    for row in notes.select("path", line.alias("line")).orderBy("path").select("line").toLocalIterator():
+        whole.update(f"{row['line']};".encode())
+    return notes.sparkSession.createDataFrame([(whole.hexdigest(),)], "fingerprint string")
 
 
 def all_strings(x: Column) -> Column:
@@ -67,7 +68,7 @@ def read_sessions(spark: SparkSession, folder: str, corpus: DataFrame, most: int
     """session_id, query, gold of the ``*.jsonl`` transcripts in a folder, by file name; lines that aren't JSON are left out.
 
     The query is the first user text of ``least`` characters or more that neither begins with ``<`` nor holds a tool result, cut
-    to ``longest``; gold are the corpus paths (column path) that stand in tool inputs at or after it. Sessions without gold are
+    to ``longest``; gold are the corpus paths (column path, each ending in .md) that stand in tool inputs at or after it. Sessions without gold are
     left out.
     """
     shape = "type string, timestamp string, message struct<content: string>"
@@ -82,7 +83,11 @@ def read_sessions(spark: SparkSession, folder: str, corpus: DataFrame, most: int
     asked = asked.groupBy("file").agg(F.min(F.struct("at", F.col("said"))).alias("q")).select("file", F.col("q.at").alias("query_at"), F.substring(F.col("q.said"), 1, longest).alias("query"))
     inputs = at.select("file", "at", F.explode(F.filter("blocks", lambda b: b["input"].isNotNull())).alias("b")).select("file", "at", F.explode(all_strings(F.concat(F.lit("["), F.col("b.input"), F.lit("]")))).alias("s"))
     later = inputs.join(asked, "file").where(F.col("at") >= F.col("query_at"))
-    gold = later.join(corpus.select(F.col("path").alias("p")), F.col("s").contains(F.col("p"))).groupBy("file").agg(F.sort_array(F.collect_set("p")).alias("gold"))
+    # a path that stands in a string does so up to its end; what lies between the last slash and that end is its file name
+    heads = lambda part: F.transform(F.slice(F.split(part, NOTE, -1), F.lit(1), F.size(F.split(part, NOTE, -1)) - 1), lambda x, i: F.concat(F.array_join(F.slice(F.split(part, NOTE, -1), F.lit(1), i + 1), ".md"), F.lit(".md")))
+    later = later.select("file", "s", F.explode(F.array_distinct(F.flatten(F.transform(F.split("s", "/"), heads)))).alias("name"))
+    paths = corpus.select(F.col("path").alias("p"), basename(F.col("path")).alias("name"))
+    gold = later.join(paths, "name").where(F.col("s").contains(F.col("p"))).groupBy("file").agg(F.sort_array(F.collect_set("p")).alias("gold"))
     out = asked.join(gold, "file").select(F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.jsonl$", "").alias("session_id"), "query", "gold").orderBy("session_id")
     return out.limit(most) if most else out
 
@@ -92,15 +97,3 @@ def parse_sparql_json(df: DataFrame, column: str = "body") -> DataFrame:
     shape = "struct<head: struct<vars: array<string>>, results: struct<bindings: array<map<string, struct<type: string, value: string>>>>>"
     each = df.select(F.from_json(column, shape).alias("j")).select(F.col("j.head.vars").alias("vars"), F.explode("j.results.bindings").alias("b"))
     return each.select(F.map_from_arrays("vars", F.transform("vars", lambda v: F.try_element_at("b", v)["value"])).alias("row"))
-
-
-def listing(roots: list[str]) -> list[tuple[str, int, int]]:
-    """(path, mtime, size) of the notes under local roots, for a quick check on the driver."""
-    found = []
-    for root in roots:
-        if os.path.isfile(root):
-            found.append((root, int(os.stat(root).st_mtime), os.stat(root).st_size))
-        for top, folders, files in os.walk(root):
-            folders[:] = sorted(d for d in folders if d not in SKIPPED_FOLDERS)
-            found += [(p, int(os.stat(p).st_mtime), os.stat(p).st_size) for p in (os.path.join(top, f) for f in sorted(files) if f.endswith(".md"))]
-    return found

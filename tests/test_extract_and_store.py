@@ -80,9 +80,9 @@ def test_store_versions(spark, tmp_path):
 def test_walk(spark, tmp_path):
     for name in ("b.md", "a/z.md", ".git/no.md", "a/y.txt", "c.MD"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).write_bytes(b"x\xff\r\ny" if name == "b.md" else b"t")
+        (tmp_path / name).write_bytes(b"x\xff\xef\xbf\xbd\r\ny\xe2\x82" if name == "b.md" else b"t")
     rows = markdown.read_notes(spark, [str(tmp_path)]).orderBy("walk_ord").collect()
-    assert [r["path"].removeprefix(str(tmp_path)) for r in rows] == ["/b.md", "/a/z.md"] and rows[0]["text"] == "x\ny"
+    assert [r["path"].removeprefix(str(tmp_path)) for r in rows] == ["/b.md", "/a/z.md"] and rows[0]["text"] == "x\ufffd\ny"
 
 
 def test_sparql_json(spark):
@@ -95,10 +95,17 @@ def test_sessions(spark, tmp_path):
         '{"type": "user", "timestamp": "2026-01-01T00:00:00Z", "message": {"content": "too short"}}',
         '{"type": "user", "timestamp": "2026-01-01T00:00:01Z", "message": {"content": "where is the eviction policy described?"}}',
         "not json",
-        '{"type": "assistant", "timestamp": "2026-01-01T00:00:02Z", "message": {"content": [{"type": "tool_use", "input": {"p": {"q": "open /v/a.md now"}}}]}}',
+        '{"type": "assistant", "timestamp": "2026-01-01T00:00:02Z", "message": {"content": [{"type": "tool_use", "input": {"p": {"q": "open /v/a.md and /v/x.md.md now"}}}]}}',
         '{"type": "assistant", "timestamp": "2025-01-01T00:00:02Z", "message": {"content": [{"type": "tool_use", "input": {"p": "/v/b.md"}}]}}',
     ]
     (tmp_path / "s1.jsonl").write_text("\n".join(lines))
-    corpus = spark.createDataFrame([("/v/a.md",), ("/v/b.md",)], "path string")
+    corpus = spark.createDataFrame([("/v/a.md",), ("/v/b.md",), ("/v/x.md",)], "path string")
     rows = markdown.read_sessions(spark, str(tmp_path), corpus).collect()
-    assert [(r["session_id"], r["query"], r["gold"]) for r in rows] == [("s1", "where is the eviction policy described?", ["/v/a.md"])]
+    assert [(r["session_id"], r["query"], r["gold"]) for r in rows] == [("s1", "where is the eviction policy described?", ["/v/a.md", "/v/x.md"])]
+
+
+def test_lines_and_items_without_bounds(spark):
+    text = "---\ntags: [" + ", ".join(f"t{i}" for i in range(3000)) + "]\n---\n" + "\n" * 100 + "[[t2999]]"
+    nodes, edges = extract.extract(notes(spark, ("n.md", text)))
+    rows = edges.orderBy("seq").collect()
+    assert [r["dst"] for r in rows] == [*(f"t{i}" for i in range(3000)), "t2999"] and [r["seq"] for r in rows] == list(range(3001))

@@ -1,5 +1,7 @@
 import math
 
+import pytest
+
 from kgspark.operators import evalkit, graph, guards, rdf, reason, retrieve, sparql, store
 from kgspark.sources import sinks
 from kgspark.vocab import NAMESPACE
@@ -93,6 +95,28 @@ def test_sparql(spark):
     assert {(r["x"][-1], r["z"] and r["z"][-1]) for r in rows} == {("a", "c"), ("b", None)}
 
 
+def test_sparql_filter_and_products(spark):
+    t = spark.createDataFrame([(NAMESPACE + s, NAMESPACE + "p", o) for s, o in (("a", "1"), ("b", "12"), ("c", "Zed"))], "s string, p string, o string")
+    said = lambda q: {r["x"][-1] for r in sparql.run(t, sparql.parse(f"SELECT ?x WHERE {{ ?x kl:p ?v {q} }}")).collect()}
+    assert said("FILTER (?v > 3)") == {"b"} and said("FILTER (?v != 12 || ?v = \"Zed\")") == {"a", "c"}
+    assert said("FILTER regex(?v, \"^z\", \"i\")") == {"c"} and said("FILTER (!contains(?v, \"1\") && bound(?x))") == {"c"}
+    assert said("FILTER (?x = kl:a)") == {"a"} and sparql.run(t, sparql.parse("SELECT ?y WHERE { kl:nowhere kl:p* ?y }")).count() == 1
+    assert sparql.run(t, sparql.parse("SELECT * WHERE { ?x kl:p ?v . ?y kl:p ?w . ?x kl:p ?w }")).count() == 3
+    with pytest.raises(ValueError):
+        sparql.PRODUCT, old = 5, sparql.PRODUCT
+        try:
+            sparql.run(t, sparql.parse("SELECT * WHERE { ?x kl:p ?v . ?y kl:p ?w }"))
+        finally:
+            sparql.PRODUCT = old
+
+
+def test_cohort_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(reason, "COHORT", 2)
+    own, held = nodes(spark, ("a", "Tool"), ("b", "Tool"), ("c", "Tool")), edges(spark, ("a", "mentions", "b"))
+    with pytest.raises(ValueError):
+        reason.reasoned_adjacency(own, held, store.adjacency(held), type_cohort=True)
+
+
 def test_entailment(spark):
     own = nodes(spark, ("a", "Note"), ("b", "Note"), ("c", "Note"), ("p", "Note"))
     held = edges(spark, ("a", "supersedes", "b"), ("b", "supersedes", "c"), ("a", "authored_by", "p"), ("a", "authored_by", "ghost"))

@@ -24,7 +24,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["rdf_triples_whole", "turtle_lines_whole", "bgp_join_whole", "ask_entailed_whole", "subclass_entail_whole"])
+@pytest.mark.parametrize("name", ["rdf_triples", "turtle_lines", "bgp_join", "ask_entailed", "subclass_entail", "sparql_filter"])
 def test_whole_graph_matches_sql(spark, con, name):
     rows, held = entry.queries()[name](spark, SF), con.sql(entry.oracle_sql()[name])
     assert sorted(rows.columns) == sorted(held.columns)
@@ -33,11 +33,11 @@ def test_whole_graph_matches_sql(spark, con, name):
 
 def test_export_holds_all_families_of_edges(spark, con):
     held = dict(con.sql(f"select predicate, count(*) from ({star.EDGES}) x group by predicate").fetchall())
-    got = {r["p"]: r["count"] for r in entry.queries()["rdf_triples_whole"](spark, SF).groupBy("p").count().collect()}
+    got = {r["p"]: r["count"] for r in entry.queries()["rdf_triples"](spark, SF).groupBy("p").count().collect()}
     assert len(held) == 7 and {p: got[NAMESPACE + p] for p in held} == held and got[NAMESPACE + "confidence"] == sum(held.values())
 
 
-@pytest.mark.parametrize("name", ["ppr_50_whole", "ppr_no_seed_uniform_whole"])
+@pytest.mark.parametrize("name", ["ppr_50", "ppr_no_seed_uniform"])
 def test_whole_graph_ranks(spark, con, name):
     edges = con.sql(f"select src, dst, confidence from ({star.EDGES}) x").fetchall()
     ids = sorted({x for e in edges for x in e[:2]})
@@ -47,7 +47,7 @@ def test_whole_graph_ranks(spark, con, name):
         w[at[a], at[b]] += c
         w[at[b], at[a]] += c
     w /= w.sum(axis=1, keepdims=True)
-    if name == "ppr_50_whole":
+    if name == "ppr_50":
         queries = {f"q{k}": np.eye(n)[at[f"nation/{k}"]] for k in range(25)}
     else:
         queries = {"q": np.full(n, 1 / n)}
