@@ -510,32 +510,71 @@ def test_stored_texts_are_carved(spark):
     assert got[1].endswith(f";embedded=2;application/pdf@48+{len(a)}:{zlib.crc32(a):08x};image/gif@{48 + len(a)}+14:{zlib.crc32(b):08x}") and got[2].endswith(";embedded=0")
 
 
-def test_lm(docs, rows, empty):
-    got = ngram_lm.lm_scores(docs).collect()
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm(docs, rows, empty, order):
+    got = ngram_lm.lm_scores(docs, order).collect()
     learnt = [ngram_lm.tokens(t or "") for i, t in rows if crc(i, 5) != 1]
     c = Counter(w for t in learnt for w in t)
-    n, v, pairs = sum(c.values()), len(c), Counter(p for t in learnt for p in zip([None, *t], t))
-    kinds, total = Counter(w for _, w in pairs), Counter()
-    left: dict = {}
-    d = ngram_lm.discounts([Counter(pairs.values())[k] for k in (1, 2, 3, 4)])
+    n, v = sum(c.values()), len(c)
+    grams = [None, None, *(Counter() for _ in range(order - 1))]
+    for t in learnt:
+        for k in range(1, len(t) + 1):
+            own = tuple([None, *t[:k]][-order:])  # the start of a text is None
+            grams[len(own)][own] += 1
+    for k in range(order, 2, -1):
+        grams[k - 1].update(g[1:] for g in grams[k])
+    kinds = Counter(g[1] for g in grams[2])
+    d = {k: ngram_lm.discounts([Counter(grams[k].values())[j] for j in (1, 2, 3, 4)]) for k in range(2, order + 1)}
     e = ngram_lm.discounts([Counter(kinds.values())[k] for k in (1, 2, 3, 4)])
-    for (a, _), k in pairs.items():
-        total[a] += k
-        left[a] = left.get(a, 0) + d[min(k, 3)]
-    rest = sum(e[min(k, 3)] for k in kinds.values()) / len(pairs)
-
-    def p(a, b):
-        base = max(kinds[b] - e[min(kinds[b], 3)], 0) / len(pairs) + rest / (v + 1)
-        return base if not total[a] else max(pairs[a, b] - d[min(pairs[a, b], 3)], 0) / total[a] + left[a] / total[a] * base
-
-    assert abs(sum(p(b"the1", w) for w in c) + p(b"the1", b"\0") - 1) < 1e-9
+    total, left = Counter(), Counter()
+    for k in range(2, order + 1):
+        for g, x in grams[k].items():
+            total[g[:-1]] += x
+            left[g[:-1]] += d[k][min(x, 3)]
+    rest = sum(e[min(k, 3)] for k in kinds.values()) / len(grams[2])
+
+    def p(g):
+        if len(g) == 1:
+            return max(kinds[g[0]] - e[min(kinds[g[0]], 3)], 0) / len(grams[2]) + rest / (v + 1)
+        x, lower = grams[len(g)][g], p(g[1:])
+        return (max(x - d[len(g)][min(x, 3)], 0) + left[g[:-1]] * lower) / total[g[:-1]] if total[g[:-1]] else lower
+
+    for before in ((b"the1",), (None,), next(iter(grams[order]))[:-1]):
+        assert abs(sum(p((*before, w)) for w in c) + p((*before, b"\0")) - 1) < 1e-9
     want = []
     for i, t in rows:
         own = ngram_lm.tokens(t or "")
-        want.append((str(i), len(own), sum(c[w] > 0 for w in own), sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), sum(math.log10(p(a, b)) for a, b in zip([None, *own], own))))
+        score = sum(math.log10(p(tuple([None, *own[:k]][-order:]))) for k in range(1, len(own) + 1))
+        want.append((str(i), len(own), sum(c[w] > 0 for w in own), sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), score))
     for r, x in zip(sorted(got, key=lambda r: (str(r["doc_id"]), r["n_tokens"])), sorted(want)):
         assert (str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"]) == (*x[:3], n) and abs(r["base_score"] - x[3]) < 1e-6 and abs(r["score"] - x[4]) < 1e-6
-    assert ngram_lm.lm_scores(empty).count() == 0
+    assert ngram_lm.lm_scores(empty, order).count() == 0
+
+
+def test_words_as_hashes(monkeypatch):
+    r = random.Random(2)
+    texts = ["", " ", "A\0 a", "a", "\x0b".join("é" * k for k in range(40)), "x" * 3000 + " Y " + "z" * 32, passage(r, 300), "\n\n"]
+    plain = ngram_lm.hashed(texts)
+    flat = [w for t in texts for w in ngram_lm.tokens(t)]
+    assert len(plain[0]) == len(flat) and plain[1].tolist() == np.cumsum([0, *(len(ngram_lm.tokens(t)) for t in texts[:-1])]).tolist()
+    assert len(set(zip(flat, plain[0].tolist()))) == len(set(flat)) == len(set(plain[0].tolist()))
+    for size in (10, 100):
+        monkeypatch.setattr(ngram_lm, "SEGMENT", size)
+        assert ngram_lm.hashed(texts)[0].tolist() == plain[0].tolist()
+
+
+def test_cut_hashes_are_found():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 5, 1000, 50_000):
+        keys = np.unique(r.integers(0, 1 << 59, n, dtype=np.uint64))
+        index, values = ngram_lm._keys(keys, 5), r.integers(1, 20, len(keys))
+        at = ngram_lm._find(index, keys, 5)
+        assert at.tolist() == list(range(len(keys)))
+        for bits in (4, 8):
+            assert ngram_lm._values(ngram_lm._column(values * 20, bits), at, bits).tolist() == (values * 20).tolist()
+        assert np.count_nonzero(ngram_lm._find(index, r.integers(0, 1 << 59, 1000, dtype=np.uint64), 5) >= 0) <= 1
+    sums = [r.integers(0, m, 5000) for m in (300, 3, 2, 2)]
+    assert np.array_equal(ngram_lm._decoded(ngram_lm._coded(sums), np.arange(5000)), np.column_stack(sums))
 
 
 def test_pipeline(spark, tmp_path):
