@@ -26,6 +26,8 @@ from .common import id_and_text, slices
 
 #: Bounds of what a worker keeps: steps of the transducer, words with their ids. When full they start anew.
 STEPS, WORDS = 700_000, 400_000
+#: Characters of the longest word or piece that is kept; longer ones, without end perhaps, would fill the memory.
+LONGEST = 64
 _WORKERS: dict = {}
 
 
@@ -99,17 +101,25 @@ class Transducer:
                 whole = (token, 0, (*waiting, token))  # one at most: an encoding is unique
         if whole:
             readings.append(whole)
-        shared, n = readings[0][2], 0
-        for n in range(len(shared), -1, -1):
-            if all(w[:n] == shared[:n] for _, _, w in readings):
+        shared = readings[0][2]
+        n = len(shared)
+        for _, _, waits in readings[1:]:  # what all readings have yet to write
+            k, most = 0, min(n, len(waits))
+            while k < most and waits[k] == shared[k]:
+                k += 1
+            n = k
+            if not n:
                 break
         shared = shared[:n]
-        new = tuple((last, node, w[n:]) for last, node, w in readings) if n else tuple(readings)
+        new = tuple([(last, node, w[n:]) for last, node, w in readings]) if n else tuple(readings)
+        return self._state(new), shared
+
+    def _state(self, new: tuple) -> int:
         if new not in self.number:
             self.number[new] = len(self.states)
             self.states.append(new)
             self.ends.append(next((w for _, node, w in new if not node), None))
-        return self.number[new], tuple(shared)
+        return self.number[new]
 
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
@@ -120,6 +130,11 @@ class Transducer:
         for byte in piece:
             step = known.get(state << 8 | byte)
             if step is None:
+                if len(known) > 2 * self.most:  # a piece without end; what is still to read is all in the state
+                    now = self.states[state]
+                    self._forget()
+                    known = self.step
+                    state = self._state(now)
                 step = known[state << 8 | byte] = self._new_step(state, byte)
             state = step[0]
             if step[1]:
@@ -140,6 +155,12 @@ class Encoder:
         self.table = [self.machine.bytes_of.get(i, b"") for i in range(max(self.ranks.values()) + 1)]
         self.numerals = [str(i) for i in range(len(self.table))]
 
+    def _word(self, word: str) -> bytes:
+        """The ids of a word after a space; one of ASCII letters is one match of the pattern."""
+        if word.isascii() and word.isalpha():
+            return array("I", self.machine.encode(b" " + word.encode())).tobytes()
+        return self._ids(" " + word)
+
     def _ids(self, text: str) -> bytes:
         found = self.pattern.findall(text)
         pieces, out = self.pieces, []
@@ -148,7 +169,9 @@ class Encoder:
             if ids is None:
                 if len(pieces) > self.words:
                     pieces.clear()
-                ids = pieces[p] = array("I", self.machine.encode(p.encode())).tobytes()
+                ids = array("I", self.machine.encode(p.encode())).tobytes()
+                if len(p) <= LONGEST:
+                    pieces[p] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -166,7 +189,9 @@ class Encoder:
             for i, v in enumerate(ids):
                 if v is None:
                     word = rest[i]
-                    ids[i] = known[word] = self._ids(" " + word)
+                    ids[i] = self._word(word)
+                    if len(word) <= LONGEST:
+                        known[word] = ids[i]
         return np.frombuffer(self._ids(first) + b"".join(ids), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
@@ -230,9 +255,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids = machine.encode(text)
                 utf8, back = codecs.getincrementaldecoder("utf-8")("strict"), hashlib.sha256()
                 for k in range(0, len(ids), 4096):
-                    part = machine.decode(ids[k : k + 4096])
-                    utf8.decode(part)  # the text comes out here; an id stream that isn't UTF-8 is an error
-                    back.update(part)
+                    # an id stream that isn't UTF-8 is an error
+                    back.update(utf8.decode(machine.decode(ids[k : k + 4096])).encode())
                 utf8.decode(b"", final=True)
                 rows.append((len(ids), hashlib.sha256(" ".join(map(numeral, ids)).encode()).hexdigest(), back.hexdigest()))
             n, a, b = zip(*rows)

@@ -30,9 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths that this session's operators wrote into the shared folder, in order.
+_WRITTEN: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def written_so_far() -> int:
+    return len(_WRITTEN)
+
+
+def remove_written(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes what operators wrote since then but for the last ``keep`` paths, once the result made of it is stored: an operator's
+    result is lazy, so it can't do so itself."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    end = len(_WRITTEN) - keep
+    for uri in _WRITTEN[since:end]:
+        path = jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(conf).delete(path, True)
+    del _WRITTEN[since:end]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -298,8 +298,8 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = model.scorer()
-        for batch in texts:
-            yield pa.array([of(t or "") for t in batch.to_pylist()], pa.float64())
+        for batch in texts:  # a few texts at a time as Python strings
+            yield pa.array([of(t or "") for i in range(0, len(batch), 64) for t in batch.slice(i, 64).to_pylist()], pa.float64())
 
     return docs.withColumn(column, F.arrow_udf(run, "double")(F.col("text").cast("string")))
 

@@ -18,7 +18,7 @@ import tiktoken  # noqa: E402
 import zstandard  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from kgspark.llm import bpe, cdc, content_store, exact_dedup, jaccard_join, license_scan, line_dedup, media, ngram_lm, packing, tokens, toxicity  # noqa: E402
+from kgspark.llm import bpe, cdc, common, content_store, exact_dedup, jaccard_join, license_scan, line_dedup, media, ngram_lm, packing, tokens, toxicity  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, keep_id long, score double, kept boolean, n_chars long"
 WORDS = ["the", "a", "Cat", "dog,", "naïve", "x.", "日本", "!!", "of"]
@@ -154,6 +154,13 @@ def test_bpe(encoder, text):
     assert ids == encoder.library.encode_ordinary(text) and encoder.decode(ids).decode() == text == "".join(encoder.stream(ids))
 
 
+def test_steps_are_bounded_within_a_piece(encoder):
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefghij") for _ in range(4000))
+    machine = bpe.Transducer(encoder.ranks, steps=100)
+    assert machine.encode(text.encode()) == encoder.library.encode_ordinary(text) and len(machine.step) <= 201
+
+
 def test_bpe_query(docs, rows, empty, encoder):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     got = bpe.digests(docs, path, public_tokenizers.PATTERN).collect()
@@ -295,7 +302,8 @@ def test_loss_is_found(spark, docs, tmp_path):
 
 
 def test_jaccard(docs, rows, empty):
-    sets = [frozenset(jaccard_join.shingles(t or "").tolist()) if i is not None else frozenset() for i, t in rows]
+    words = [re.findall(r"[^ \t\n\x0b\x0c\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w and i is not None else frozenset() for (i, _), w in zip(rows, words)]
     close = lambda a, b: bool(a and b) and len(a & b) >= 0.8 * len(a | b)
     links = [sum(k != j and close(a, b) for j, b in enumerate(sets)) for k, a in enumerate(sets)]
     got = jaccard_join.jaccard_join(docs).collect()
@@ -595,4 +603,32 @@ def test_pipeline(spark, tmp_path):
     kept = {r["doc_id"] for r in at.collect()}
     assert len(kept & {900, 901, 902}) == 1 and 903 in kept and 904 not in kept
     assert len(kept & {i for i in range(200) if i % 4}) >= 0.97 * 150 and len(kept & {i for i in range(200) if i % 4 == 0}) <= 5
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept
+    # brute force of all but the classifier, from the rows that it keeps
+    rows = [tuple(r) for r in toxicity.stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).select("doc_id", "text").collect()]
+    best: dict = {}
+    for i, t in rows:
+        best.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((-len(t or ""), i, t))
+    left = [min(x)[1:] for x in best.values()]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in left}
+    close = lambda a, b: sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    group = {i: i for i in sets}
+    for _ in sets:
+        group = {i: min(group[j] for j in sets if j == i or close(i, j)) for i in sets}
+    stay = [(i, t) for i, t in left if group[i] == i]
+    assert {i for i, _ in stay} == kept
+    want = []
+    for i, t in stay:
+        ids = [*ids_of(t or ""), 0]
+        want += [(i, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())) for k in range(0, len(ids), 2048)]
+    before = common.written_so_far()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = out.collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    assert common.written_so_far() - before <= 5  # the stages' tables and the pieces
+    places: dict = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    total = sum(x[3] for x in want)
+    for own in places.values():
+        assert [a for a, _ in sorted(own)] == np.cumsum([0, *[n for _, n in sorted(own)][:-1]]).tolist() and sum(n for _, n in own) <= 2048
+    assert len(places) <= -(-total // (2048 - max(x[3] for x in want))) + 1  # none but the last leaves room for the longest
