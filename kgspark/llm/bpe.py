@@ -23,9 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, slices
+from .words import KEPT, SEGMENT, Table
 
 #: Bounds of what a worker keeps: steps of the transducer, words with their ids. When full they start anew.
-STEPS, WORDS = 700_000, 400_000
+STEPS, WORDS = 700_000, 100_000
+#: Words and ids in the worker's table.
+SLOTS, IDS = 1 << 19, 4 << 20
 #: Characters of the longest word or piece that is kept; longer ones, without end perhaps, would fill the memory.
 LONGEST = 64
 _WORKERS: dict = {}
@@ -36,9 +39,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The encoding by definition: merge the adjacent pair of least rank, the first of equals, until none can be merged."""
-    parts, none = [data[i : i + 1] for i in range(len(data))], 1 << 60
+def merge(data: bytes, ranks: dict[bytes, int], none: int = 1 << 60) -> list[int]:
+    """The encoding by definition: merge the adjacent pair of least rank (under ``none``), the first of equals, until none can be."""
+    parts = [data[i : i + 1] for i in range(len(data))]
     of = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
     while of and (least := min(of)) < none:
         i = of.index(least)
@@ -69,6 +72,14 @@ class Transducer:
                     self.token.append(-1)
                 node = self.child[key]
             self.token[node] = token
+        # The two tokens that a token is merged from, -1: it is a byte. If each is of a higher rank than its parts, ranks tell the time.
+        self.parts = [(-1, -1)] * (max(ranks.values()) + 1)
+        for data, token in ranks.items():
+            if len(data) > 1:
+                two = merge(data, ranks, token)
+                self.parts[token] = tuple(two) if len(two) == 2 else (-2, -2)
+        single = {t for d, t in ranks.items() if len(d) == 1}
+        self.timely = all(p == (-1, -1) or p[0] >= 0 and all(x in single or x < t for x in p) for t, p in enumerate(self.parts))
         self.pairs: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
         self._forget()
@@ -86,9 +97,29 @@ class Transducer:
         if (a, b) not in self.pairs:
             if len(self.pairs) > self.most:
                 self.pairs.clear()
-            self.pairs[a, b] = merge(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
+            self.pairs[a, b] = self._apart(a, b) if self.timely else merge(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
         return self.pairs[a, b]
 
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether no merge across the border of a and b comes before those that make a and b. Backwards in time the last part of a
+        and the first of b get shorter; two that could merge while both were there would have done so, of merges of one rank the
+        left one first."""
+        until_a = until_b = 1 << 60
+        parts, bytes_of, ranks = self.parts, self.bytes_of, self.ranks
+        while True:
+            made_a, made_b = (a if parts[a][0] >= 0 else -1), (b if parts[b][0] >= 0 else -1)
+            across = ranks.get(bytes_of[a] + bytes_of[b])
+            if across is not None:
+                when = max(across, made_a, made_b)
+                if when < until_a and when <= until_b:
+                    return False
+            if made_a < 0 and made_b < 0:
+                return True
+            if made_a > made_b:
+                until_a, a = made_a, parts[a][1]
+            else:
+                until_b, b = made_b, parts[b][0]
+
     def _new_step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         readings, whole = [], None  # in the order in which their last tokens began
         for last, node, waiting in self.states[state]:
@@ -143,23 +174,18 @@ class Transducer:
 
 
 class Encoder:
-    """Texts to ids: a text is split at single spaces into words, whose ids don't depend on their neighbours; a word is split
-    by the pattern and each match goes through the transducer. A text in which white space meets white space is split by the
+    """Texts to ids: a text is split at single spaces into words, whose ids don't depend on their neighbours; a word that isn't in
+    the table is split by the pattern and each match goes through the transducer. A text in which white space meets white space is split by the
     pattern as a whole."""
 
-    def __init__(self, path: str, pattern: str, words: int = WORDS):
+    def __init__(self, path: str, pattern: str, words: int = WORDS, slots: int = SLOTS):
         self.ranks = read_ranks(path)
         self.machine, self.pattern, self.words = Transducer(self.ranks), regex.compile(pattern), words
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.table = Table(np.dtype("<u4"), slots, IDS)
         self.pieces: dict[str, bytes] = {}
-        self.table = [self.machine.bytes_of.get(i, b"") for i in range(max(self.ranks.values()) + 1)]
-        self.numerals = [str(i) for i in range(len(self.table))]
-
-    def _word(self, word: str) -> bytes:
-        """The ids of a word after a space; one of ASCII letters is one match of the pattern."""
-        if word.isascii() and word.isalpha():
-            return array("I", self.machine.encode(b" " + word.encode())).tobytes()
-        return self._ids(" " + word)
+        self.bytes = [self.machine.bytes_of.get(i, b"") for i in range(max(self.ranks.values()) + 1)]
+        self.numerals = [str(i) for i in range(len(self.bytes))]
 
     def _ids(self, text: str) -> bytes:
         found = self.pattern.findall(text)
@@ -176,32 +202,61 @@ class Encoder:
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if _MEET.search(text):
-            return np.frombuffer(self._ids(text), "<u4").tolist()
-        known = self.known
-        first, *rest = text.split(" ")
-        ids = list(map(known.get, rest))
-        if None in ids:
+        return self.encode_all([text])[0].tolist()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; all words of a batch are looked up at once."""
+        out: list = [None] * len(texts)
+        group, size = [], 0
+        for i, text in enumerate(texts):
+            if not text or "\0" in text or len(text) > 8 * SEGMENT or _MEET.search(text):
+                out[i] = np.frombuffer(self._ids(text), "<u4")
+                continue
+            if group and size + len(text) > SEGMENT:
+                self._segment(texts, group, out)
+                group, size = [], 0
+            group.append(i)
+            size += len(text)
+        if group:
+            self._segment(texts, group, out)
+        return out
+
+    def _segment(self, texts: list[str], group: list[int], out: list) -> None:
+        raw = b"\xff".join([texts[i].encode() for i in group])  # a byte of no text
+        b = np.frombuffer(raw + b"\xff" + bytes(KEPT + 8), np.uint8)
+        gap = np.flatnonzero((b[: len(raw) + 1] == 32) | (b[: len(raw) + 1] == 255))
+        begin = np.concatenate([[0], gap[:-1] + (b[gap[:-1]] == 255)])  # a word has the space before it
+
+        def encode(at: np.ndarray) -> list[bytes]:
+            found, known = [], self.known
             if len(known) > self.words:
                 known.clear()
-            for i, v in enumerate(ids):
-                if v is None:
-                    word = rest[i]
-                    ids[i] = self._word(word)
+            for word in (raw[i:j] for i, j in zip(begin[at].tolist(), gap[at].tolist())):
+                if word[:1] == b" " and word[1:].isalpha():  # of ASCII letters: one match of the pattern
+                    found.append(array("I", self.machine.encode(word)).tobytes())
+                    continue
+                ids = known.get(word)
+                if ids is None:
+                    ids = self._ids(word.decode())
                     if len(word) <= LONGEST:
-                        known[word] = ids[i]
-        return np.frombuffer(self._ids(first) + b"".join(ids), "<u4").tolist()
+                        known[word] = ids
+                found.append(ids)
+            return found
+
+        first, count = self.table.look(b, begin, gap - begin, encode)
+        ids = self.table.gathered(first, count)
+        ends = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(begin, gap[b[gap] == 255])]
+        for i, own in zip(group, np.split(ids, ends[:-1])):
+            out[i] = own
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids))
+        return b"".join(map(self.bytes.__getitem__, ids))
 
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         """The text as it becomes certain: bytes of a character that isn't whole yet wait in the UTF-8 state machine."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         for i in ids:
-            if text := machine.decode(self.table[i]):
+            if text := machine.decode(self.bytes[i]):
                 yield text
         if text := machine.decode(b"", final=True):
             yield text
@@ -225,7 +280,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder(path, pattern)
         for batch in slices(batches):
-            ids = [machine.encode(t) for t in batch.column(1).to_pylist()]
+            ids = [x.astype(np.int32) for x in machine.encode_all(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -251,8 +306,8 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         numeral = machine.numerals.__getitem__
         for batch in slices(batches):
             rows = []
-            for text in batch.column(1).to_pylist():
-                ids = machine.encode(text)
+            for ids in machine.encode_all(batch.column(1).to_pylist()):
+                ids = ids.tolist()
                 utf8, back = codecs.getincrementaldecoder("utf-8")("strict"), hashlib.sha256()
                 for k in range(0, len(ids), 4096):
                     # an id stream that isn't UTF-8 is an error

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import HOT, id_and_text, join_unique, may_match, rows_that_stay, shared_dir, slices, written
 from .components import components
+from .words import hashed
 
 NGRAM, SIMILARITY = 5, 0.8
 #: MinHash values: BANDS of ROWS each. A pair at the threshold shares no band with probability (1 - 0.8 ** 5) ** 32 < 3.1e-6.
@@ -31,8 +32,6 @@ STEP, TOLERANCE = 32, 1e-6
 CHANCE = 1 / 256
 #: Classes of a block; memory of a task is that of two blocks. Classes of a band (a signature each) that are compared in one task.
 BLOCK, MEMBERS = 400, 4096
-MEMO = 400_000
-_WORDS: dict[bytes, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,28 +44,24 @@ _SEEDS = _mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x
 _A, _B = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
 
 
-def shingles(text: str, n: int = NGRAM) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the text's word n-grams; words are runs without ASCII white space, A-Z in lower case.
-    A text of fewer words is one shingle, a text without words none."""
-    words = text.encode().lower().split()
-    if not words:
+def shingles_of(h: np.ndarray, n: int = NGRAM) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the n-grams of words given by hash."""
+    if not len(h):
         return np.empty(0, np.uint64)
-    if len(_WORDS) > MEMO:
-        _WORDS.clear()
-    hashes = list(map(_WORDS.get, words))
-    if None in hashes:
-        for i, h in enumerate(hashes):
-            if h is None:
-                hashes[i] = _WORDS[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    h = np.array(hashes, np.uint64)
-    if len(h) < n:
-        n = len(h)
+    n = min(n, len(h))
     out = h[: len(h) - n + 1].copy()
     for k in range(1, n):
         out = _mix(out) + h[k : len(h) - n + 1 + k]
     return np.unique(_mix(out + np.uint64(n)))
 
 
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """The shingles of each text; words are runs without ASCII white space, A-Z in lower case. A text of fewer words is one
+    shingle, a text without words none."""
+    h, firsts = hashed(texts, ended=False)
+    return [shingles_of(x) for x in np.split(h, firsts[1:])]
+
+
 def signature(own: np.ndarray) -> np.ndarray:
     """The MinHash values (their low 8 bits) of a set of shingles."""
     least = np.full(len(_A), 0xFFFFFFFF, np.uint32)
@@ -109,7 +104,7 @@ def kept_by_values(values: np.ndarray, x: np.ndarray, y: np.ndarray, need: dict[
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        own = [shingles(t) for t in batch.column(1).to_pylist()]
+        own = shingle_sets(batch.column(1).to_pylist())
         cols = [batch.column(0), batch.column(2), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in own], pa.binary()), pa.array([len(s) for s in own], pa.int64()), pa.array([signature(s).tobytes() for s in own], pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "said", "key", "n_shingles", "values"])
 
@@ -157,7 +152,7 @@ def _kin(key: tuple, table: pa.Table) -> pa.Table:
 
 def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
-        own = [shingles(t) for t in batch.column(1).to_pylist()]
+        own = shingle_sets(batch.column(1).to_pylist())
         same = pa.array([xxhash.xxh3_128_digest(s.tobytes()) == k for s, k in zip(own, batch.column(5).to_pylist())], pa.bool_())
         cols = [*(batch.column(i) for i in (0, 2, 3, 4, 6)), pa.array([s.tobytes() for s in own], pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, names=["node", "size", "component", "blocks", "values", "shingles"]).filter(same)

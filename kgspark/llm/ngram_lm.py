@@ -14,31 +14,22 @@ for a seen one at a rate of 4e-7 at any size. Words keep all 64 bits.
 from __future__ import annotations
 
 import math
-import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, id_remainder, mapped_bytes, scratch, shared_dir, slices, write_bytes, written
+from .words import END, hashed
 
 MOD, HELD_OUT = 5, 1
 #: Words of the longest n-gram. Tokens of a bucket, about; n-grams that a task holds before it writes; files that a worker maps.
 ORDER, BUCKET, HELD, MAPPED = 3, 2_000_000, 2_000_000, 20_000
-#: The end of a text; no word holds white space.
-END = b"\n"
-SEGMENT, KEPT = 1 << 20, 32
-_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_NEXT = re.compile(rb"[ \t\n\x0b\x0c\r]")
-_ENDED = np.uint64(xxhash.xxh3_64_intdigest(END))
+_FACTORS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
 def tokens(text: str) -> list[bytes]:
@@ -48,51 +39,6 @@ def tokens(text: str) -> list[bytes]:
     return words
 
 
-# --- words as hashes, all of a batch at once ---
-
-
-def _hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word of raw begins, and its hash: of words up to KEPT bytes a mix of these, of others xxh3."""
-    b = np.frombuffer(raw + bytes(KEPT + 8), np.uint8)
-    edge = np.diff(np.concatenate([[False], ~_SPACE[b[: len(raw)]], [False]]).astype(np.int8))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    size = end - begin
-    v = b.astype(np.uint64)
-    for k in (1, 2, 4):
-        v[:-k] |= v[k:] << np.uint64(8 * k)
-    h = size.astype(np.uint64) * _FACTORS[3]
-    for j, factor in enumerate(_FACTORS):
-        h = (h ^ v[np.minimum(begin + 8 * j, len(raw))] & _MASK[np.clip(size - 8 * j, 0, 8)]) * factor
-        h ^= h >> np.uint64(31)
-    for i in np.flatnonzero(size > KEPT).tolist():
-        h[i] = xxhash.xxh3_64_intdigest(raw[begin[i] : end[i]])
-    return begin, h
-
-
-def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the tokens of all texts in a row, and where each text's begin. Bounded memory for long texts."""
-    raw = "\n".join(texts).encode().lower()
-    begins, hashes, at = [], [], 0
-    while at < len(raw):
-        m = _NEXT.search(raw, at + SEGMENT) if len(raw) - at > SEGMENT else None
-        end = m.start() if m else len(raw)
-        if end - at > 8 * SEGMENT:  # a word of megabytes among others
-            for m in re.finditer(rb"[^ \t\n\x0b\x0c\r]+", raw[at:end]):
-                begins.append(np.array([at + m.start()]))
-                hashes.append(_hashes(m[0])[1] if len(m[0]) <= KEPT else np.array([xxhash.xxh3_64_intdigest(m[0])], np.uint64))
-        else:
-            begin, h = _hashes(raw[at:end])
-            begins.append(begin + at)
-            hashes.append(h)
-        at = max(end, at + 1)
-    begin, h = (np.concatenate([np.empty(0, t), *x]) for x, t in ((begins, np.int64), (hashes, np.uint64)))
-    last = np.cumsum([len(t.encode()) + 1 for t in texts])  # where the next text begins
-    ends = np.searchsorted(begin, last)
-    out = np.full(len(h) + len(texts), _ENDED, np.uint64)
-    out[np.arange(len(h)) + np.searchsorted(last, begin, "right")] = h
-    return out, np.concatenate([[0], ends[:-1]]) + np.arange(len(texts))
-
-
 def gram_key(columns: list[np.ndarray]) -> np.ndarray:
     """A 64-bit hash of rows of ids."""
     h = np.full(len(columns[0]), len(columns), np.uint64)

@@ -11,8 +11,10 @@ import re
 
 import numpy as np
 
-#: Units and ids that a worker keeps; a unit of more than KEPT bytes goes to a small store by itself.
-SLOTS, IDS, KEPT, LONG = 1 << 20, 4 << 20, 32, 20_000
+from .words import KEPT, Table
+
+#: Units and ids that a worker keeps.
+SLOTS, IDS = 1 << 19, 4 << 20
 #: Characters that are looked up at once.
 SEGMENT = 1 << 20
 _WORKERS: dict[str, "WordTokenizer"] = {}
@@ -26,8 +28,6 @@ _CLASS[[*range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = _LETTER
 _CLASS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = _MARK
 #: Bytes of U+00D7 and U+00F7, which are no letters, and of U+0130, which has two characters in lower case.
 _SIGNS = re.compile(rb"\xc3[\x97\xb7]|\xc4\xb0")
-_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _NEXT = re.compile(r"[ \t\n\x0b\x0c\r]")
 
 
@@ -67,13 +67,7 @@ class WordTokenizer:
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.last, self.slots = last, slots
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys = np.zeros((self.slots, KEPT // 8), np.uint64)
-        self.first, self.count = np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int64)
-        self.pool, self.used, self.long = np.empty(1 << 18, self.dtype), 0, {}
+        self.last, self.table = last, Table(self.dtype, slots, IDS)
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, self.dtype).tobytes() for w in words]
@@ -90,36 +84,19 @@ class WordTokenizer:
             out += [raw[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
-    def _pooled(self, units: list[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Encodes units; where in the pool the ids of each begin, and how many they are."""
+    def _units(self, units: list[bytes], letters: np.ndarray) -> list[bytes]:
         words = [u.decode() for u in units]
         ids: list = [None] * len(words)
-        for some, encode in ((np.flatnonzero(letters).tolist(), self._letters), (np.flatnonzero(~letters).tolist(), self._whole)):
-            for i, x in zip(some, encode([words[i].lower() for i in some] if encode == self._letters else [words[i] for i in some])):
+        plain, odd = np.flatnonzero(letters).tolist(), np.flatnonzero(~letters).tolist()
+        for some, found in ((plain, self._letters([words[i].lower() for i in plain])), (odd, self._whole([words[i] for i in odd]))):
+            for i, x in zip(some, found):
                 ids[i] = x
-        count = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
-        new = np.frombuffer(b"".join(ids), self.dtype)
-        end = self.used + len(new)
-        if end > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.empty(max(end, self.used), self.dtype)])
-        self.pool[self.used : end] = new
-        first = self.used + np.cumsum(count) - count
-        self.used = end
-        return first, count
-
-    def _put(self, keys: np.ndarray, h: np.ndarray, first: np.ndarray, count: np.ndarray) -> None:
-        at = (h & np.uint64(self.slots - 1)).astype(np.int64)
-        free = self.keys[at, 0] == 0  # no unit begins with a byte 0
-        for some, to in ((np.flatnonzero(free), at), (np.flatnonzero(~free), (h >> np.uint64(40) & np.uint64(self.slots - 1)).astype(np.int64))):
-            some = some[np.unique(to[some], return_index=True)[1]]  # one unit to a slot
-            self.keys[to[some]], self.first[to[some]], self.count[to[some]] = keys[some], first[some], count[some]
+        return ids
 
     def _segment(self, texts: list[str]) -> list[np.ndarray]:
         raw = "\n".join(texts).encode().lower()
         if b"\0" in raw:
             return [np.frombuffer(x, self.dtype) for x in self._whole(texts)]
-        if self.used > IDS:
-            self._forget()
         b = np.frombuffer(raw + bytes(KEPT + 8), np.uint8)
         kind = _CLASS[b[: len(raw)]]
         kind[[m.start() for m in _SIGNS.finditer(raw)]] = _OTHER
@@ -134,56 +111,17 @@ class WordTokenizer:
         cut = np.flatnonzero((kind[1:] == _MARK) & (kind[:-1] == _LETTER)) + 1
         cut = cut[~odd[np.searchsorted(starts, cut, "right") - 1]]
         begin, end = (np.sort(np.concatenate([x, cut]), kind="stable") for x in (starts, ends))
-        size = end - begin
-        v = b.astype(np.uint64)
-        for k in (1, 2, 4):
-            v[:-k] |= v[k:] << np.uint64(8 * k)
-        keys = np.empty((len(begin), KEPT // 8), np.uint64)
-        h = np.zeros(len(begin), np.uint64)
-        for j, factor in enumerate(_FACTORS):
-            keys[:, j] = v[begin + 8 * j] & _MASK[np.clip(size - 8 * j, 0, 8)]
-            h = (h ^ keys[:, j]) * factor
-            h ^= h >> np.uint64(31)
-        first, count = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
-        left = np.arange(len(begin))
-        short = size <= KEPT
-        if not short.all():
-            self._of_long(raw, np.flatnonzero(~short), begin, end, starts, odd, kind, first, count)
-            left = left[short]
-        for shift in (0, 40):
-            at = (h[left] >> np.uint64(shift) & np.uint64(self.slots - 1)).astype(np.int64)
-            held = self.keys[at]
-            hit = held[:, 0] == keys[left, 0]
-            for j in range(1, keys.shape[1]):
-                hit &= held[:, j] == keys[left, j]
-            first[left[hit]], count[left[hit]] = self.first[at[hit]], self.count[at[hit]]
-            left = left[~hit]
-        if len(left):
-            _, one, of = np.unique(h[left], return_index=True, return_inverse=True)
-            one = left[one]
-            if not np.array_equal(keys[one][of], keys[left]):  # two units of one hash
-                return [np.frombuffer(x, self.dtype) for x in self._whole(texts)]
-            letters = ~odd[np.searchsorted(starts, begin[one], "right") - 1] & (kind[begin[one]] == _LETTER)
-            a, n = self._pooled([raw[i:j] for i, j in zip(begin[one].tolist(), end[one].tolist())], letters)
-            self._put(keys[one], h[one], a, n)
-            first[left], count[left] = a[of], n[of]
-        total = np.cumsum(count)
-        ids = self.pool[np.repeat(first - (total - count), count) + np.arange(total[-1])]
+
+        def encode(at: np.ndarray) -> list[bytes]:
+            letters = ~odd[np.searchsorted(starts, begin[at], "right") - 1] & (kind[begin[at]] == _LETTER)
+            return self._units([raw[i:j] for i, j in zip(begin[at].tolist(), end[at].tolist())], letters)
+
+        first, count = self.table.look(b, begin, end - begin, encode)
+        ids = self.table.gathered(first, count)
         bounds = np.cumsum([len(t.encode()) + 1 for t in texts[:-1]]) if len(texts) > 1 else []
-        upto = np.concatenate([[0], total])[np.searchsorted(begin, bounds)]
+        upto = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(begin, bounds)]
         return np.split(ids, upto)
 
-    def _of_long(self, raw, some, begin, end, starts, odd, kind, first, count) -> None:
-        letters = ~odd[np.searchsorted(starts, begin[some], "right") - 1] & (kind[begin[some]] == _LETTER)
-        units = [raw[i:j] for i, j in zip(begin[some].tolist(), end[some].tolist())]
-        if len(self.long) > LONG:
-            self.long.clear()
-        new = {u: x for u, x in zip(units, letters.tolist()) if u not in self.long}
-        told = dict(zip(new, zip(*(x.tolist() for x in self._pooled(list(new), np.array([*new.values()], bool)))))) if new else {}
-        for i, u in zip(some.tolist(), units):
-            first[i], count[i] = told[u] if u in told else self.long[u]
-        self.long.update((u, x) for u, x in told.items() if len(u) <= 8 * KEPT)
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out, group, size = [], [], 0
         for text in texts:

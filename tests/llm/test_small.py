@@ -18,7 +18,7 @@ import tiktoken  # noqa: E402
 import zstandard  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from kgspark.llm import bpe, cdc, common, content_store, exact_dedup, jaccard_join, license_scan, line_dedup, media, ngram_lm, packing, tokens, toxicity  # noqa: E402
+from kgspark.llm import bpe, cdc, common, content_store, exact_dedup, jaccard_join, license_scan, line_dedup, media, ngram_lm, packing, tokens, toxicity, words  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, keep_id long, score double, kept boolean, n_chars long"
 WORDS = ["the", "a", "Cat", "dog,", "naïve", "x.", "日本", "!!", "of"]
@@ -142,7 +142,7 @@ def test_word_tokenizer_is_the_library(monkeypatch):
 
 @pytest.fixture(scope="module")
 def encoder():
-    e = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, words=500)
+    e = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, words=50, slots=256)
     e.library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=e.ranks, special_tokens={})
     return e
 
@@ -154,6 +154,15 @@ def test_bpe(encoder, text):
     assert ids == encoder.library.encode_ordinary(text) and encoder.decode(ids).decode() == text == "".join(encoder.stream(ids))
 
 
+def test_borders_of_tokens(encoder):
+    r = random.Random(3)
+    machine, sure = encoder.machine, list(encoder.machine.bytes_of)
+    assert machine.timely
+    for _ in range(20_000):
+        a, b = r.choice(sure), r.choice(sure[: r.choice([300, 2000, len(sure)])])
+        assert machine._apart(a, b) == (bpe.merge(machine.bytes_of[a] + machine.bytes_of[b], encoder.ranks) == [a, b]), (a, b)
+
+
 def test_steps_are_bounded_within_a_piece(encoder):
     r = random.Random(8)
     text = "".join(r.choice("abcdefghij") for _ in range(4000))
@@ -567,7 +576,7 @@ def test_words_as_hashes(monkeypatch):
     assert len(plain[0]) == len(flat) and plain[1].tolist() == np.cumsum([0, *(len(ngram_lm.tokens(t)) for t in texts[:-1])]).tolist()
     assert len(set(zip(flat, plain[0].tolist()))) == len(set(flat)) == len(set(plain[0].tolist()))
     for size in (10, 100):
-        monkeypatch.setattr(ngram_lm, "SEGMENT", size)
+        monkeypatch.setattr(words, "SEGMENT", size)
         assert ngram_lm.hashed(texts)[0].tolist() == plain[0].tolist()
 
 
