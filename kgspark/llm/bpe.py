@@ -28,7 +28,7 @@ from .words import KEPT, SEGMENT, Table
 #: Bounds of what a worker keeps: steps of the transducer, words with their ids. When full they start anew.
 STEPS, WORDS = 700_000, 100_000
 #: Words and ids in the worker's table.
-SLOTS, IDS = 1 << 19, 4 << 20
+SLOTS, IDS = 1 << 20, 4 << 20
 #: Characters of the longest word or piece that is kept; longer ones, without end perhaps, would fill the memory.
 LONGEST = 64
 _WORKERS: dict = {}

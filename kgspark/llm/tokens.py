@@ -14,7 +14,7 @@ import numpy as np
 from .words import KEPT, Table
 
 #: Units and ids that a worker keeps.
-SLOTS, IDS = 1 << 19, 4 << 20
+SLOTS, IDS = 1 << 20, 4 << 20
 #: Characters that are looked up at once.
 SEGMENT = 1 << 20
 _WORKERS: dict[str, "WordTokenizer"] = {}
