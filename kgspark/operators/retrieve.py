@@ -12,17 +12,48 @@ from . import graph, lexical
 
 RRF_K = 60
 LEXICAL_DEPTH = 10
+#: A token of more labels than this, and of more than its square in pairs of label and query, is common.
+COMMON = 1000
 
 
-def link_entities(queries: DataFrame, nodes: DataFrame, limit: int = 8, stopwords: list[str] = STOPWORDS) -> DataFrame:
-    """query_id, id, overlap: the nodes whose labels share most distinct tokens with a query (query_id, text); ties by id, descending."""
+def link_entities(queries: DataFrame, nodes: DataFrame, limit: int = 8, stopwords: list[str] = STOPWORDS, common: int = COMMON) -> DataFrame:
+    """query_id, id, overlap: the nodes whose labels share most distinct tokens with a query (query_id, text); ties by id, descending.
+
+    Tokens of more than ``common`` labels that many queries ask for never meet label by label: see _common_links().
+    """
+    asked = cut(queries.select("query_id", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit("")), stopwords))).alias("token")).distinct())
     labels = nodes.select("id", F.explode(F.array_distinct(tokens(clean_label(F.col("name"), F.col("id")), stopwords))).alias("token"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit("")), stopwords))).alias("token"))
-    shared = asked.join(labels, "token").groupBy("query_id", "id").agg(F.count("*").alias("overlap"))
+    labels = cut(labels.join(asked.select("token").distinct(), "token", "left_semi").select("id", "token").distinct())
+    often = asked.groupBy("token").agg(F.count("*").alias("a")).join(labels.groupBy("token").agg(F.count("*").alias("p")), "token")
+    often = cut(often.where((F.col("p") > common) & (F.col("a") * F.col("p") > common * common)).select("token"))
+    if often.isEmpty():
+        shared = asked.join(labels, "token").groupBy("query_id", "id").agg(F.count("*").alias("overlap"))
+    else:
+        shared = _common_links(asked, labels, F.broadcast(often), limit)
     best = Window.partitionBy("query_id").orderBy(F.desc("overlap"), F.desc("id"))
     return shared.withColumn("n", F.row_number().over(best)).where(F.col("n") <= limit).drop("n")
 
 
+def _common_links(asked: DataFrame, labels: DataFrame, often: DataFrame, limit: int) -> DataFrame:
+    """query_id, id, overlap of asked (query_id, token) and labels (id, token): all pairs that share a token not in ``often``, and of
+    the others those that can be among the first ``limit`` of a query.
+
+    Labels with the same common tokens overlap alike in them, so that only the ``limit`` last ids of each such set can be needed
+    unless a rarer token is shared too; queries with the same common tokens have the same answer.
+    """
+    sets = lambda df, key, name: df.join(often, "token", "left_semi").groupBy(key).agg(F.sort_array(F.collect_set("token")).alias(name))
+    said, held = cut(sets(asked, "query_id", "said")), cut(sets(labels, "id", "held"))
+    last = held.withColumn("n", F.row_number().over(Window.partitionBy("held").orderBy(F.desc("id")))).where(F.col("n") <= limit).select("held", "id")
+    ours, theirs = (df.select(c).distinct().select(c, F.explode(c).alias("token")) for df, c in ((said, "said"), (held, "held")))
+    alike = ours.join(theirs, "token").groupBy("said", "held").agg(F.count("*").alias("overlap")).join(last, "held").select("said", "id", "overlap")
+    best = Window.partitionBy("said").orderBy(F.desc("overlap"), F.desc("id"))
+    alike = alike.withColumn("n", F.row_number().over(best)).where(F.col("n") <= limit).drop("n")
+    rare = asked.join(often, "token", "left_anti").join(labels.join(often, "token", "left_anti"), "token").groupBy("query_id", "id").agg(F.count("*").alias("few"))
+    both = rare.join(said, "query_id", "left").join(held, "id", "left")
+    both = both.select("query_id", "id", (F.col("few") + F.size(F.coalesce(F.array_intersect("said", "held"), F.array().cast("array<string>")))).alias("overlap"))
+    return both.unionByName(said.join(alike, "said").select("query_id", "id", "overlap")).groupBy("query_id", "id").agg(F.max("overlap").alias("overlap"))
+
+
 def reciprocal(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
     """ranked (query_id, id, rank from 1) with rrf = 1 / (k + rank - 1)."""
     return ranked.withColumn("rrf", 1 / (F.lit(k) + F.col("rank") - 1))
