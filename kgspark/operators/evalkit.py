@@ -11,6 +11,8 @@ from ..functions.text import clean_label, tokens
 
 CUTOFFS = [1, 5, 10]
 FAMILIES = ["multi_hop", "simple_lookup"]
+#: Pairs up to which the sign test adds whole numbers up; their digits grow with the pairs, and so do the terms.
+EXACT = 1000
 
 
 def multi_hop_probes(nodes: DataFrame, edges: DataFrame, max_overlap: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -65,10 +67,37 @@ def recall_at(got: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     return gold.select("query_id", "id").distinct().join(hits, ["query_id", "id"], "left").groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
 
 
+def _log_factorial_rest(n: int) -> float:
+    """ln(n!) less Stirling's (n + 1/2) ln(n) - n + ln(2 pi) / 2."""
+    if n < 16:
+        return math.lgamma(n + 1) - ((n + 0.5) * math.log(n) - n + math.log(2 * math.pi) / 2)
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+
+
+def _half_split(k: int, n: int) -> float:
+    """C(n, k) / 2**n by Loader's saddle point, to nearly all digits whatever n; k from 1 to n - 1."""
+    e = (n - 2 * k) / n  # how uneven; k is n/2 (1 - e), and the rest n/2 (1 + e)
+    if abs(e) < 0.1:
+        far, power, i = 0.0, e * e, 1
+        while power > far * 1e-18:  # (1 - e) ln(1 - e) + (1 + e) ln(1 + e) = sum of e**2i / (i (2i - 1))
+            far, power, i = far + power / (i * (2 * i - 1)), power * e * e, i + 1
+    else:
+        far = (1 - e) * math.log1p(-e) + (1 + e) * math.log1p(e)
+    rest = _log_factorial_rest(n) - _log_factorial_rest(k) - _log_factorial_rest(n - k)
+    return math.exp(rest - n / 2 * far) * math.sqrt(n / (2 * math.pi * k * (n - k)))
+
+
 def binomial_tail(wins: int, losses: int) -> float:
-    """The exact two-sided probability of such a split or a more uneven one under even chances; 1 without data."""
-    n = wins + losses
-    return min(1.0, 2 * math.fsum(math.comb(n, i) / 2**n for i in range(min(wins, losses) + 1))) if n else 1.0
+    """The exact two-sided probability of such a split or a more uneven one under even chances; 1 without data. Beyond EXACT pairs
+    the terms come from the greatest, each from the one before, until they change nothing: some root of n of them."""
+    n, k = wins + losses, min(wins, losses)
+    if n <= EXACT:
+        return min(1.0, 2 * math.fsum(math.comb(n, i) / 2**n for i in range(k + 1))) if n else 1.0
+    term = _half_split(k, n) if k else 0.5**n if n < 1075 else 0.0
+    total = 0.0
+    while term > total * 1e-18:
+        total, term, k = total + term, term * k / (n - k + 1), k - 1
+    return min(1.0, 2 * total)
 
 
 def sign_test(base: DataFrame, arm: DataFrame) -> tuple[int, int, float]:

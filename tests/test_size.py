@@ -1,8 +1,12 @@
-"""What large tables need: common words in entity linking."""
+"""What large tables need: common words in entity linking, and the sign test of many pairs."""
+
+import time
+from fractions import Fraction
+from math import comb
 
 import pytest
 
-from kgspark.operators import guards, retrieve
+from kgspark.operators import evalkit, guards, retrieve
 
 
 def labelled(spark, n):
@@ -34,3 +38,13 @@ def test_common_words_never_meet_label_by_label(spark):
     assert "held" in joins and links.count() == 4000 * 50
     told = guards.groundedness(asked, spark.range(4000).selectExpr("id as query_id", "concat('s', id) as id"), own)
     assert {(r["grounded"], r["support"]) for r in told.collect()} == {(False, 0.02)}
+
+
+def test_sign_test_of_many_pairs():
+    for wins, losses in ((500, 501), (0, 1001), (40, 1200), (1400, 1500), (0, 1070), (2, 1500), (900, 1300), (1500, 1500)):
+        n = wins + losses
+        want = min(Fraction(1), Fraction(2 * sum(comb(n, i) for i in range(min(wins, losses) + 1)), 2**n))
+        assert evalkit.binomial_tail(wins, losses) == pytest.approx(float(want), rel=1e-12)
+    began = time.time()
+    assert evalkit.binomial_tail(450_000, 450_000) == 1.0 and evalkit.binomial_tail(10**9, 10**9 + 100_000) == pytest.approx(0.02534, rel=2e-3)
+    assert evalkit.binomial_tail(100_000, 800_000) == 0.0 and time.time() - began < 5
