@@ -155,12 +155,12 @@ _UNIFORM = "select 'q' as query_id, id, 1.0::double / n as t from v"
 
 def _ppr_nations(spark, edges):
     seeds = spark.sql("select 'q' || n_nationkey as query_id, 'nation/' || n_nationkey as id from nation")
-    return graph.personalized_pagerank(store.adjacency(edges), seeds).select("query_id", "id", F.round("r", 9).alias("r"))
+    return graph.personalized_pagerank(store.directed(edges), seeds).select("query_id", "id", F.round("r", 9).alias("r"))
 
 
 def _ppr_no_seed(spark, edges):
     seeds = spark.createDataFrame([("q", "no such node")], "query_id string, id string")
-    return graph.personalized_pagerank(store.adjacency(edges), seeds).select("query_id", "id", F.round("r", 9).alias("r"))
+    return graph.personalized_pagerank(store.directed(edges), seeds).select("query_id", "id", F.round("r", 9).alias("r"))
 
 
 @query(_ppr(_NATIONS))
@@ -264,7 +264,7 @@ def hybrid_retrieve(spark, d):
     nodes, edges = star.nodes(spark, d), star.edges(spark, d)
     docs = spark.sql("select 'part/' || p_partkey as id, p_name || ' ' || p_brand || ' ' || p_type as text, p_partkey as ord from part")
     asked = spark.sql(_QUESTIONS.replace("v(", "as v("))
-    return retrieve.retrieve(asked, docs, nodes, store.adjacency(edges), 10).select("query_id", "rank", "id", "score")
+    return retrieve.retrieve(asked, docs, nodes, store.directed(edges), 10).select("query_id", "rank", "id", "score")
 
 
 # --- guards ---

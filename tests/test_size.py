@@ -1,4 +1,4 @@
-"""What large tables need: common words in entity linking, and the sign test of many pairs."""
+"""What large tables need: common words in entity linking, ranks by blocks, and the sign test of many pairs."""
 
 import time
 from fractions import Fraction
@@ -6,7 +6,7 @@ from math import comb
 
 import pytest
 
-from kgspark.operators import evalkit, guards, retrieve
+from kgspark.operators import evalkit, graph, guards, retrieve
 
 
 def labelled(spark, n):
@@ -48,3 +48,23 @@ def test_sign_test_of_many_pairs():
     began = time.time()
     assert evalkit.binomial_tail(450_000, 450_000) == 1.0 and evalkit.binomial_tail(10**9, 10**9 + 100_000) == pytest.approx(0.02534, rel=2e-3)
     assert evalkit.binomial_tail(100_000, 800_000) == 0.0 and time.time() - began < 5
+
+
+def test_ranks_by_blocks_equal_ranks_in_a_task(spark, monkeypatch):
+    """Parallel and weightless edges, stuck nodes, a query without seeds, more blocks than cores."""
+    monkeypatch.setattr(graph, "BLOCK_VERTICES", 20)
+    adj = [(f"n{k * k % 90}", f"n{k % 97}", 0.25 + k % 3) for k in range(400)] + [("n1", "sink", 2.0), ("n2", "idle", 0.0), ("n1", "sink", 1.0), ("idle", "n3", 0.0)]
+    rows = spark.createDataFrame(adj, "src string, dst string, w double")
+    seeds = spark.createDataFrame([(k % 10, f"n{k}") for k in range(30)] + [(10, "nowhere"), (3, "n3"), (4, "nowhere")], "query_id int, id string")
+    one, two = ({(r["query_id"], r["id"]): r["r"] for r in graph.personalized_pagerank(rows, seeds, rounds=6, small=small, together=6).collect()} for small in (10**6, 0))
+    assert len(two) == 11 * len({x for e in adj for x in e[:2]}) and one.keys() == two.keys()
+    assert max(abs(one[k] - two[k]) for k in one) < 1e-12
+
+
+def test_ranks_by_blocks_make_no_row_of_an_edge(spark, monkeypatch, tmp_path):
+    """The rounds before kept checkpoints and shuffles of all edges and of ranks by rows; now the two last rounds' arrays stay."""
+    rows = spark.range(5000).selectExpr("concat('a', id % 500) as src", "concat('b', id % 499) as dst", "1.0D as w")
+    monkeypatch.setattr(graph, "shared", lambda spark: f"file://{tmp_path}")
+    ranks = graph.personalized_pagerank(rows, spark.createDataFrame([(1, "a1")], "query_id int, id string"), rounds=3, small=0)
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.glob("ranks-*/r*") if not p.name.endswith(".crc")}
+    assert left == {"r0-3"} and ranks.count() == 999
