@@ -149,28 +149,35 @@ tele as ({tele}), r as (
 select query_id, id, {r} as r from r where it = 50"""
 
 
+def _ends(nodes: DataFrame, spark: SparkSession) -> DataFrame:
+    """The nodes, and the statuses, which are ends of edges but no nodes."""
+    return nodes.select("id", F.when(F.col("note_path").isNotNull(), F.col("seq")).alias("seq")).unionByName(spark.sql("select distinct 'status/' || o_orderstatus as id, cast(null as long) as seq from orders"))
+
+
 _NATIONS = "select 'q' || n_nationkey as query_id, 'nation/' || n_nationkey as id, 1.0::double as t from nation"
 _UNIFORM = "select 'q' as query_id, id, 1.0::double / n as t from v"
 
 
-def _ppr_nations(spark, edges):
+def _ppr_nations(spark, d):
+    nodes, edges = star.nodes(spark, d), star.edges(spark, d)
     seeds = spark.sql("select 'q' || n_nationkey as query_id, 'nation/' || n_nationkey as id from nation")
-    return graph.personalized_pagerank(store.directed(edges), seeds).select("query_id", "id", F.round("r", 9).alias("r"))
+    return graph.personalized_pagerank(store.weighted(edges), seeds, names=_ends(nodes, spark), both=True).select("query_id", "id", F.round("r", 9).alias("r"))
 
 
-def _ppr_no_seed(spark, edges):
+def _ppr_no_seed(spark, d):
+    nodes, edges = star.nodes(spark, d), star.edges(spark, d)
     seeds = spark.createDataFrame([("q", "no such node")], "query_id string, id string")
-    return graph.personalized_pagerank(store.directed(edges), seeds).select("query_id", "id", F.round("r", 9).alias("r"))
+    return graph.personalized_pagerank(store.weighted(edges), seeds, names=_ends(nodes, spark), both=True).select("query_id", "id", F.round("r", 9).alias("r"))
 
 
 @query(_ppr(_NATIONS))
 def ppr_50(spark, d):
-    return _ppr_nations(spark, star.edges(spark, d))
+    return _ppr_nations(spark, d)
 
 
 @query(_ppr(_UNIFORM))
 def ppr_no_seed_uniform(spark, d):
-    return _ppr_no_seed(spark, star.edges(spark, d))
+    return _ppr_no_seed(spark, d)
 
 
 @query("with o as (select o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n, o_custkey as c from orders) select 'order/' || a.o_orderkey as src, 'order/' || b.o_orderkey as dst from o a join o b on a.c = b.c and a.n > b.n")
