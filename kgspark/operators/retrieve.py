@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_label, tokens
-from ..session import cut
+from ..session import cut, written
 from ..vocab import STOPWORDS
 from . import graph, lexical
 
@@ -81,36 +81,37 @@ def ordered_distinct(ranked: DataFrame, k: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).where(F.col("rank") <= k)
 
 
-def graph_ranking(queries_seeds: DataFrame, adj: DataFrame, nodes: DataFrame, k: int = LEXICAL_DEPTH, wanted: DataFrame | None = None) -> DataFrame:
+def graph_ranking(queries_seeds: DataFrame, adj: DataFrame, nodes: DataFrame, k: int = LEXICAL_DEPTH, wanted: DataFrame | None = None, both: bool = False, others: DataFrame | None = None) -> DataFrame:
     """query_id, id, rank, score: the k best notes by personalised PageRank and specificity; ties by the order of writes.
 
     wanted (query_id, id; a few of each query): those have their rank among all notes too, by counting the better ones, so that no
-    task sorts all notes of a query.
+    task sorts all notes of a query; they are few enough to be sent to all tasks. both, others: see graph.note_ranks().
     """
-    scores = graph.note_scores(graph.personalized_pagerank(adj, queries_seeds), adj, nodes)
-    scores = scores if wanted is None else cut(scores)
+    scores = graph.note_ranks(adj, queries_seeds, nodes, both=both, others=others)
+    scores = scores if wanted is None else written(scores)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("seq"))
     top = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
     if wanted is None:
         return top
-    some = scores.join(wanted.select("query_id", "id"), ["query_id", "id"], "left_semi")
-    some = some.select("query_id", "id", F.col("score").alias("own"), F.col("seq").alias("at"))
+    some = scores.join(F.broadcast(wanted.select("query_id", "id")), ["query_id", "id"], "left_semi")
+    some = cut(some.select("query_id", "id", F.col("score").alias("own"), F.col("seq").alias("at")))
     better = (F.col("score") > F.col("own")) | (F.col("score") == F.col("own")) & (F.col("seq") < F.col("at"))
-    asked = scores.select("query_id", "score", "seq").join(some, "query_id").groupBy("query_id", "id", F.col("own").alias("score"))
+    asked = scores.select("query_id", "score", "seq").join(F.broadcast(some), "query_id").groupBy("query_id", "id", F.col("own").alias("score"))
     asked = asked.agg((F.count_if(better) + 1).cast("int").alias("rank")).select("query_id", "id", "rank", "score")
     return top.unionByName(asked.join(top, ["query_id", "id"], "left_anti"))
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, nodes: DataFrame, adj: DataFrame, k: int = 5, depth: int = LEXICAL_DEPTH, linked: DataFrame | None = None, kept: tuple | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, docs: DataFrame, nodes: DataFrame, adj: DataFrame, k: int = 5, depth: int = LEXICAL_DEPTH, linked: DataFrame | None = None, kept: tuple | None = None, both: bool = False, others: DataFrame | None = None) -> DataFrame:
     """query_id, rank, id, text, score: graph and lexical rankings fused; a query that links to no node has the lexical one alone.
 
     docs: id, text, ord; both rankings go ``depth`` deep whatever k is, the graph one over all notes. kept: docs' index, if there is one.
+    both, others: see graph.note_ranks().
     """
     words = cut(lexical.top_k(docs, queries, depth, kept=kept))
     linked = cut(link_entities(queries, nodes)) if linked is None else linked
     seeded = linked.select("query_id").distinct()
     # beside the lexical ids only the k best of the others can be among the fused
-    ranks = graph_ranking(linked.select("query_id", "id"), adj, nodes, k + depth, words)
+    ranks = graph_ranking(linked.select("query_id", "id"), adj, nodes, k + depth, words, both, others)
     fused = fuse(ranks.select("query_id", "id", "rank"), words.join(seeded, "query_id", "left_semi").select("query_id", "id", "rank"), k)
     alone = words.join(seeded, "query_id", "left_anti").where(F.col("rank") <= k)
     every = fused.unionByName(alone.select("query_id", "rank", "id", "score"))

@@ -149,9 +149,9 @@ tele as ({tele}), r as (
 select query_id, id, {r} as r from r where it = 50"""
 
 
-def _ends(nodes: DataFrame, spark: SparkSession) -> DataFrame:
-    """The nodes, and the statuses, which are ends of edges but no nodes."""
-    return nodes.select("id", F.when(F.col("note_path").isNotNull(), F.col("seq")).alias("seq")).unionByName(spark.sql("select distinct 'status/' || o_orderstatus as id, cast(null as long) as seq from orders"))
+def _statuses(spark: SparkSession) -> DataFrame:
+    """The ends of edges that are no nodes."""
+    return spark.sql("select distinct 'status/' || o_orderstatus as id from orders")
 
 
 _NATIONS = "select 'q' || n_nationkey as query_id, 'nation/' || n_nationkey as id, 1.0::double as t from nation"
@@ -161,13 +161,13 @@ _UNIFORM = "select 'q' as query_id, id, 1.0::double / n as t from v"
 def _ppr_nations(spark, d):
     nodes, edges = star.nodes(spark, d), star.edges(spark, d)
     seeds = spark.sql("select 'q' || n_nationkey as query_id, 'nation/' || n_nationkey as id from nation")
-    return graph.personalized_pagerank(store.weighted(edges), seeds, names=_ends(nodes, spark), both=True).select("query_id", "id", F.round("r", 9).alias("r"))
+    return graph.personalized_pagerank(store.weighted(edges), seeds, names=nodes.select("id").unionByName(_statuses(spark)), both=True).select("query_id", "id", F.round("r", 9).alias("r"))
 
 
 def _ppr_no_seed(spark, d):
     nodes, edges = star.nodes(spark, d), star.edges(spark, d)
     seeds = spark.createDataFrame([("q", "no such node")], "query_id string, id string")
-    return graph.personalized_pagerank(store.weighted(edges), seeds, names=_ends(nodes, spark), both=True).select("query_id", "id", F.round("r", 9).alias("r"))
+    return graph.personalized_pagerank(store.weighted(edges), seeds, names=nodes.select("id").unionByName(_statuses(spark)), both=True).select("query_id", "id", F.round("r", 9).alias("r"))
 
 
 @query(_ppr(_NATIONS))
@@ -271,7 +271,7 @@ def hybrid_retrieve(spark, d):
     nodes, edges = star.nodes(spark, d), star.edges(spark, d)
     docs = spark.sql("select 'part/' || p_partkey as id, p_name || ' ' || p_brand || ' ' || p_type as text, p_partkey as ord from part")
     asked = spark.sql(_QUESTIONS.replace("v(", "as v("))
-    return retrieve.retrieve(asked, docs, nodes, store.directed(edges), 10).select("query_id", "rank", "id", "score")
+    return retrieve.retrieve(asked, docs, nodes, store.weighted(edges), 10, both=True, others=_statuses(spark)).select("query_id", "rank", "id", "score")
 
 
 # --- guards ---

@@ -91,3 +91,25 @@ def test_ranks_by_blocks_compute_edges_once(spark, monkeypatch, lost):
     two = graph.personalized_pagerank(counted, seeds, rounds=7, small=0, names=names, both=True).collect()
     assert len(one) == len(two) == 3 * len({x for e in adj for x in e[:2]}) and max(abs(one[r["query_id"], r["id"]] - r["r"]) for r in two) < 1e-12
     assert lost or seen.value == len(adj)
+
+
+def test_notes_of_a_large_graph_compute_edges_once(spark, monkeypatch):
+    """Ranks and the count of neighbours computed all edges three times and shuffled their ends as text; the blocks know both now."""
+    adj = [(f"n{k * k % 90}", f"n{k % 97}", 0.25 + k % 3) for k in range(400)] + [("n1", "status", 2.0), ("n2", "status", 1.0), ("n1", "n1", 1.0), ("n3", "n4", 0.0)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame(adj, "src string, dst string, w double")
+    nodes = spark.createDataFrame([(f"n{k}", f"note {k}" if k % 3 else None, k) for k in range(98)], "id string, note_path string, seq long")
+    seeds = spark.createDataFrame([(1, "n5"), (1, "n8"), (2, "n7"), (3, "nowhere")], "query_id int, id string")
+    want = {(r["query_id"], r["id"], r["seq"]): r["score"] for r in graph.note_scores(graph.personalized_pagerank(store.both_ways(rows), seeds), store.both_ways(rows), nodes).collect()}
+    got = graph.note_ranks(rows.mapInArrow(count, rows.schema), seeds, nodes, small=0, both=True, others=spark.createDataFrame([("status",)], "id string")).collect()
+    assert len(got) == len(want) > 150 and max(abs(want[r["query_id"], r["id"], r["seq"]] - r["score"]) for r in got) < 1e-12
+    assert seen.value == len(adj)
+    monkeypatch.setattr(graph, "CHUNK", 7)
+    again = graph.note_ranks(rows, seeds, nodes, small=0, both=True).collect()
+    assert {(r["query_id"], r["id"], r["seq"]): round(r["score"], 12) for r in again} == {k: round(v, 12) for k, v in want.items()}
