@@ -82,21 +82,23 @@ def ordered_distinct(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def graph_ranking(queries_seeds: DataFrame, adj: DataFrame, nodes: DataFrame, k: int = LEXICAL_DEPTH, wanted: DataFrame | None = None, both: bool = False, others: DataFrame | None = None) -> DataFrame:
-    """query_id, id, rank, score: the k best notes by personalised PageRank and specificity; ties by the order of writes.
+    """query_id, id, rank, score: the k best notes by personalised PageRank and specificity; ties by the order of writes; scores
+    that differ by about 1e-12 of themselves or less are ties, since sums in another order differ by more than nothing.
 
     wanted (query_id, id; a few of each query): those have their rank among all notes too, by counting the better ones, so that no
     task sorts all notes of a query; they are few enough to be sent to all tasks. both, others: see graph.note_ranks().
     """
     scores = graph.note_ranks(adj, queries_seeds, nodes, both=both, others=others)
+    scores = scores.withColumn("level", F.floor(F.log("score") * F.lit(1e12) + 0.5))
     scores = scores if wanted is None else written(scores)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("seq"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("level"), F.asc("seq"))
     top = scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
     if wanted is None:
         return top
     some = scores.join(F.broadcast(wanted.select("query_id", "id")), ["query_id", "id"], "left_semi")
-    some = cut(some.select("query_id", "id", F.col("score").alias("own"), F.col("seq").alias("at")))
-    better = (F.col("score") > F.col("own")) | (F.col("score") == F.col("own")) & (F.col("seq") < F.col("at"))
-    asked = scores.select("query_id", "score", "seq").join(F.broadcast(some), "query_id").groupBy("query_id", "id", F.col("own").alias("score"))
+    some = cut(some.select("query_id", "id", F.col("score").alias("own"), F.col("level").alias("own_level"), F.col("seq").alias("at")))
+    better = (F.col("level") > F.col("own_level")) | (F.col("level") == F.col("own_level")) & (F.col("seq") < F.col("at"))
+    asked = scores.select("query_id", "level", "seq").join(F.broadcast(some), "query_id").groupBy("query_id", "id", F.col("own").alias("score"))
     asked = asked.agg((F.count_if(better) + 1).cast("int").alias("rank")).select("query_id", "id", "rank", "score")
     return top.unionByName(asked.join(top, ["query_id", "id"], "left_anti"))
 
